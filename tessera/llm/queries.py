@@ -7,6 +7,12 @@ import public_tokenizers
 from .common import table
 
 
+def op1_pstable_embeddings(spark, sf_dir):
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_shuffle_shards(spark, sf_dir):
     from .sharding import shard_documents
 
@@ -19,12 +25,24 @@ def op4_byte_bpe(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op5_simhash(spark, sf_dir):
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_positional_index(spark, sf_dir):
+    from .decontaminate import contamination_report
+
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark, sf_dir):
     from .token_counts import count_documents
 
     return count_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_shuffle_shards, op4_byte_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_pstable_embeddings, op2_shuffle_shards, op4_byte_bpe, op5_simhash, op9_positional_index, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
