@@ -19,6 +19,12 @@ def op2_shuffle_shards(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_counterfactual_toxicity(spark, sf_dir):
+    from .toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_byte_bpe(spark, sf_dir):
     from .byte_bpe import encode_documents
 
@@ -31,6 +37,12 @@ def op5_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_bootstrapped_pii(spark, sf_dir):
+    from .pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op9_positional_index(spark, sf_dir):
     from .decontaminate import contamination_report
 
@@ -43,6 +55,6 @@ def op10_token_counts(spark, sf_dir):
     return count_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pstable_embeddings, op2_shuffle_shards, op4_byte_bpe, op5_simhash, op9_positional_index, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_pstable_embeddings, op2_shuffle_shards, op3_counterfactual_toxicity, op4_byte_bpe, op5_simhash, op7_bootstrapped_pii, op9_positional_index, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
