@@ -1,8 +1,71 @@
-"""The corpus pipeline: each stage takes what its predecessor kept."""
+"""The corpus pipeline: each stage takes what its predecessor kept.
 
-STAGES = []
+Toxicity drops what the classifier rejects, SimHash keeps the document with the
+smallest id of each component, decontamination drops documents that hold a window of
+the benchmark, PII replaces personal data by its kind, and encoding returns the
+token ids' digests. Rows of one id that a stage rejects go together; a null id is
+dropped by no stage but the first, unless it shares a fingerprint with another row.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from tessera.llm import byte_bpe, decontaminate, pii, simhash, toxicity
+from tessera.llm.common import table
+
+
+def toxicity_stage(spark, docs, sf_dir):
+    """Documents that score below the threshold. The labels teach as in op3."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.scorer(model)("text") < toxicity.THRESHOLD)
+
+
+def simhash_stage(spark, docs, sf_dir):
+    """The document with the smallest id of each component; of rows with that id, all."""
+    found = simhash.near_duplicates(docs)
+    far = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(far, "doc_id", "left_anti")
+
+
+def decontamination_stage(spark, docs, sf_dir):
+    """Documents without any window of the benchmark."""
+    found = decontaminate.contamination_report(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def pii_stage(spark, docs, sf_dir):
+    """Texts with personal data replaced by [KIND]; n_chars follows."""
+    found = pii.with_spans(docs, "pii_spans")
+    text = found.withColumn("text", pii.redacted(F.col("text"), F.col("pii_spans")))
+    return text.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*docs.columns)
+
+
+def encoding_stage(spark, docs, sf_dir):
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids."""
+    found = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.drop("decoded")
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("byte_bpe", encoding_stage),
+]
+
+#: A classifier and a fingerprint have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """The stages over documents, each written to the shared folder and read again."""
+    from tessera.llm.common import Stage
+
+    stage = Stage(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, apply in STAGES[:-1]:
+        docs = stage.write(apply(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
