@@ -30,7 +30,7 @@ METRIC_TAGS = {
 
 def day(text: Column) -> Column:
     """A date, or null where the text is none."""
-    return F.try_to_date(text, F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.expr("CAST(NULL AS DATE)")
+    return F.try_to_date(text, "yyyy-MM-dd")
 
 
 def is_annual(start: Column, end: Column) -> Column:

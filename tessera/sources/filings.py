@@ -49,10 +49,10 @@ def filings_of(submissions: DataFrame, forms: list[str], start_year: int, end_ye
     """Filings from the parallel arrays of a submission index; an unreadable year counts as 0 and so is out."""
     recent = F.arrays_zip(*[F.col(f"filings.recent.{c}") for c in ("accessionNumber", "form", "filingDate", "reportDate", "primaryDocument")])
     rows = submissions.select(F.col("cik").cast("bigint").alias("cik"), F.upper(F.get("tickers", F.lit(0))).alias("ticker"), F.inline(recent))
-    year = F.coalesce(F.try_to_date("reportDate", F.lit("yyyy-MM-dd")).cast("string").substr(1, 4).cast("int"), F.lit(0))
+    year = F.coalesce(F.try_to_date("reportDate", "yyyy-MM-dd").cast("string").substr(1, 4).cast("int"), F.lit(0))
     kept = rows.where(F.col("form").isin(forms) & year.between(start_year, end_year) & (F.coalesce("primaryDocument", F.lit("")) != ""))
     url = F.concat_ws("/", F.lit(ARCHIVE), F.col("cik").cast("string"), F.replace(F.col("accessionNumber"), F.lit("-"), F.lit("")), F.col("primaryDocument"))
-    return kept.select(F.col("accessionNumber").alias("accession"), "cik", "ticker", "form", F.try_to_date("filingDate", F.lit("yyyy-MM-dd")).alias("filing_date"), F.try_to_date("reportDate", F.lit("yyyy-MM-dd")).alias("period_of_report"), year.alias("fiscal_year"), F.col("primaryDocument").alias("primary_document"), url.alias("primary_doc_url")).orderBy("period_of_report", "accession")
+    return kept.select(F.col("accessionNumber").alias("accession"), "cik", "ticker", "form", F.try_to_date("filingDate", "yyyy-MM-dd").alias("filing_date"), F.try_to_date("reportDate", "yyyy-MM-dd").alias("period_of_report"), year.alias("fiscal_year"), F.col("primaryDocument").alias("primary_document"), url.alias("primary_doc_url")).orderBy("period_of_report", "accession")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
