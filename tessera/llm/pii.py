@@ -5,9 +5,9 @@ lengths of the pieces and matches give the offsets. The patterns are the stated
 with possessive repeats and a look-behind where a match can begin, which change no
 match but keep long runs of text linear and off the regex engine's stack.
 
-Seeds and candidates are the tokens that hold a digit or '@'. A token inside a base
-span is a seed of its kind. Its lexical patterns are the two words before it, and the
-word before with the word after. Patterns and token values form a graph that is scored
+Candidates are the tokens that hold a digit or '@', and base spans, which are the seeds
+of their kinds. Their lexical patterns are the two words before them, and the word
+before with the word after. Patterns and token values form a graph that is scored
 in rounds: a pattern's confidence for a kind is the mean score of the values it holds,
 a value's score the noisy-or of its patterns. A value is discovered if its shape fits
 the kind and its score reaches CONFIDENCE, where every pattern that counts has at least
@@ -115,16 +115,22 @@ def _tokens(text: Column) -> Column:
 
 
 def instances(docs: DataFrame) -> DataFrame:
-    """One row a token of each distinct text: key, value, first, last, kind (null if in no base span), patterns."""
+    """One row a candidate of each distinct text: key, value, first, last, kind (null if in no base span), patterns.
+
+    A base span of several tokens is one candidate, told by its first token.
+    """
     text = F.col("text")
     texts = docs.where(text.rlike("[0-9@]")).select(_text_key(text).alias("key"), base_spans(text).alias("spans"), _tokens(text).alias("tokens"))
     rows = texts.dropDuplicates(["key"]).select("key", "spans", F.explode("tokens").alias("t"))
-    over = F.filter("spans", lambda s: (s["first"] < F.col("t.last")) & (F.col("t.first") < s["last"]))
+    over = F.get(F.filter("spans", lambda s: (s["first"] < F.col("t.last")) & (F.col("t.first") < s["last"])), F.lit(0))
+    rows = rows.withColumn("span", over).where("span IS NULL OR t.first <= span.first")
     left = F.lower(F.regexp_extract(F.col("t.before"), r"(\S++)\s++$", 1))
     left2 = F.lower(F.regexp_replace(F.regexp_extract(F.right(F.col("t.before"), F.lit(80)), r"(?<!\S)(\S+\s+\S+)\s+$", 1), r"\s+", " "))
-    right = F.lower(F.regexp_extract("t.after", r"^\s++(\S++)", 1))
+    # the words behind a span are known where its first token is its last one
+    right = F.when(F.col("span").isNull() | (F.col("t.last") >= F.col("span.last")), F.lower(F.regexp_extract("t.after", r"^\s++(\S++)", 1))).otherwise("")
     found = F.array(F.when(left2 != "", F.concat(F.lit("< "), left2)), F.when((left != "") & (right != ""), F.concat(F.lit("<> "), left, F.lit(" "), right)))
-    return rows.select("key", F.lower("t.value").alias("value"), F.col("t.first").alias("first"), F.col("t.last").alias("last"), F.get(over, F.lit(0))["kind"].alias("kind"), F.array_compact(found).alias("patterns"))
+    bare = F.regexp_replace("t.value", r"[.,;:!?]++$", "")
+    return rows.select("key", F.lower(F.coalesce("span.value", bare)).alias("value"), F.col("t.first").alias("first"), (F.col("t.first") + F.length(bare)).alias("last"), F.col("span.kind").alias("kind"), F.array_compact(found).alias("patterns"))
 
 
 def _fits(kind: Column, value: Column) -> Column:
