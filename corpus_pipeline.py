@@ -1,10 +1,11 @@
 """The corpus pipeline: each stage takes what its predecessor kept.
 
-Toxicity drops what the classifier rejects, SimHash keeps the document with the
-smallest id of each component, decontamination drops documents that hold a window of
+Toxicity drops what the classifier rejects, SimHash near-dedup keeps the document with
+the smallest id of each group (five-word shingle sets of similarity 0.8 or more),
+decontamination drops documents that hold a window of
 the benchmark, PII replaces personal data by its kind, and encoding returns the
 token ids' digests. Rows of one id that a stage rejects go together; a null id is
-dropped by no stage but the first, unless it shares a fingerprint with another row.
+dropped by no stage but the first.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ def toxicity_stage(spark, docs, sf_dir):
 
 
 def simhash_stage(spark, docs, sf_dir):
-    """The document with the smallest id of each component; of rows with that id, all."""
-    found = simhash.near_duplicates(docs)
+    """The document with the smallest id of each group of similar texts; of rows with that id, all."""
+    found = simhash.similar_documents(docs)
     far = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(far, "doc_id", "left_anti")
 

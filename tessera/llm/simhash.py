@@ -63,7 +63,10 @@ def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """The SimHash as an unsigned integer."""
-    hashes = shingle_hashes(text, words)
+    return print_of(shingle_hashes(text, words))
+
+
+def print_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -102,27 +105,27 @@ def _add(a, b, c):
     return u ^ c, (a & b) | (u & c)
 
 
-def _beyond(one, two, four, over, radius: int):
-    """Where the counted distance is over the radius (0 to 7)."""
+def _beyond(counters, over, radius: int):
+    """Where the counted distance is over the radius. counters: planes of weight 1, 2, 4, 8 and 16."""
     more, same = over.copy(), ~over
-    for plane, bit in ((four, 4), (two, 2), (one, 1)):
-        if radius & bit:
-            same &= plane
+    for k in reversed(range(len(counters))):
+        if radius >> k & 1:
+            same &= counters[k]
         else:
-            more |= same & plane
-            same &= ~plane
+            more |= same & counters[k]
+            same &= ~counters[k]
     return more
 
 
 def far_bits(planes: np.ndarray, radius: int) -> np.ndarray:
-    """For 64 planes of differing bits: words whose set bits mark distances over the radius.
+    """For 64 planes of differing bits: words whose set bits mark distances over the radius (at most 31).
 
     Blocks (columns) are abandoned once all their distances are beyond the radius.
     """
     width = planes.shape[1]
     out = np.full(width, _ONES)
     live = np.arange(width)
-    one, two, four, over = (np.zeros(width, np.uint64) for _ in range(4))
+    one, two, four, eight, sixteen, over = (np.zeros(width, np.uint64) for _ in range(6))
     for k in range(0, BITS, 8):
         p = planes[k : k + 8] if len(live) == width else planes[k : k + 8, live]
         one, a = _add(one, p[0], p[1])
@@ -132,12 +135,13 @@ def far_bits(planes: np.ndarray, radius: int) -> np.ndarray:
         one, b = _add(one, p[6], p[7])
         two, d = _add(two, a, b)
         four, e = _add(four, c, d)
-        over = over | e
-        far = _beyond(one, two, four, over, radius)
+        eight, f = eight ^ e, eight & e
+        sixteen, over = sixteen ^ f, over | (sixteen & f)
+        far = _beyond((one, two, four, eight, sixteen), over, radius)
         if k + 8 == BITS:
             out[live] = far
         elif (keep := far != _ONES).sum() < 0.7 * len(live):
-            live, one, two, four, over = live[keep], one[keep], two[keep], four[keep], over[keep]
+            live, one, two, four, eight, sixteen, over = (x[keep] for x in (live, one, two, four, eight, sixteen, over))
             if not len(live):
                 break
     return out
@@ -166,9 +170,13 @@ def _reached(planes: np.ndarray, print_: np.uint64, open_: np.ndarray, radius: i
 
 
 def links_of_block(prints: np.ndarray, radius: int, parted: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what lies within the radius, breadth first. parted: the first so many are only compared with the rest."""
-    n = len(prints)
+    """Links, by number, that join what lies within the radius. parted: the first so many are only compared with the rest."""
     planes = bit_planes(prints)
+    return breadth_first(len(prints), parted, lambda at, sought: _reached(planes, prints[at], sought, radius))
+
+
+def breadth_first(n: int, parted: int, reach) -> tuple[np.ndarray, np.ndarray]:
+    """Links by number: each item is compared once, by reach(item, words of sought bits), with those not yet reached."""
     sides = np.arange(n) < parted
     masks = [np.packbits(np.resize(m, n), bitorder="little") for m in (~sides, sides)] if parted else [np.packbits(np.ones(n, bool), bitorder="little")]
     masks = [np.concatenate([m, np.zeros(-len(m) % 8, np.uint8)]).view("<u8") for m in masks]
@@ -182,17 +190,17 @@ def links_of_block(prints: np.ndarray, radius: int, parted: int = 0) -> tuple[np
         while front:
             at = front.pop()
             sought = open_ & masks[0 if at < parted or not parted else 1]
-            new = _reached(planes, prints[at], sought, radius)
+            new = reach(at, sought)
             if len(new):
                 np.bitwise_and.at(open_, new >> 6, ~(np.uint64(1) << (new & 63).astype(np.uint64)))
                 a += [at] * len(new)
                 b += new.tolist()
                 front += new.tolist()
-    return prints[np.array(a, np.int64)], prints[np.array(b, np.int64)]
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def _bucket_links(key: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int):
-    """Links of a sorted run of whole units. side: 2 in a unit compared within itself, else 0 or 1."""
+    """Links, by row, of a sorted run of whole units. side: 2 in a unit compared within itself, else 0 or 1."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(key)]]))
     for size in range(2, SMALL_BUCKET + 1):
@@ -206,14 +214,13 @@ def _bucket_links(key: np.ndarray, side: np.ndarray, prints: np.ndarray, radius:
             meet = (side[x] == 2) | (side[x] != side[y])
             x, y = x[meet], y[meet]
             near = _pairs_within(prints[x], prints[y], radius)
-            yield prints[x[near]], prints[y[near]]
+            yield x[near], y[near]
     for start, size in zip(starts[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET]):
         own, part = prints[start : start + size], side[start : start + size]
-        if part[0] == 2:
-            yield links_of_block(own, radius)
-        elif (first := int((part == 0).sum())) and first < size:
-            order = np.argsort(part, kind="stable")
-            yield links_of_block(own[order], radius, first)
+        order, first = np.argsort(part, kind="stable"), int((part == 0).sum())
+        if part[0] == 2 or 0 < first < size:
+            a, b = links_of_block(own[order], radius, 0 if part[0] == 2 else first)
+            yield start + order[a], start + order[b]
 
 
 def block_masks(radius: int = RADIUS) -> list[int]:
@@ -228,26 +235,28 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def link_fingerprints(prints: DataFrame, stage: Stage, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """u, v: links of distinct fingerprints, enough to join all within the radius. prints: distinct fp long."""
-    masks = F.array(*[F.lit(_signed(m)) for m in block_masks(radius)])
-    rows = prints.select("fp", F.posexplode(masks).alias("t", "mask")).select("fp", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
-    hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
-    hot = hot.select("bucket", F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks"))
+def _units(rows: DataFrame, split: int, *carried: str) -> DataFrame:
+    """unit, side and the carried columns of rows with a bucket; buckets beyond `split` rows become pairs of blocks."""
+    hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > split)
+    hot = hot.select("bucket", F.ceil(F.col("n") / split).cast("int").alias("blocks"))
     dealt = rows.join(hot, "bucket", "left")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64(carried[0], F.lit(7)), F.col("blocks")).cast("int")
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.xxhash64("bucket", F.least(k, own), F.greatest(k, own)).alias("unit"), F.when(k == own, 2).when(k > own, 0).otherwise(1).alias("side")),
     )
     alone = F.array(F.struct(F.col("bucket").alias("unit"), F.lit(2).alias("side")))
-    units = dealt.select("fp", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meets)).alias("x")).select("x.unit", "x.side", "fp")
+    return dealt.select(*carried, F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meets)).alias("x")).select("x.unit", "x.side", *carried)
+
+
+def _links_in_units(units: DataFrame, radius: int) -> DataFrame:
+    """u, v: links of node long by its fp long, a forest in each run of units. units: unit, side, node, fp."""
 
     def run(batches):
         held = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+                now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
                 held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
                 if len(held[0]) < 1 << 18:
                     continue
@@ -255,17 +264,26 @@ def link_fingerprints(prints: DataFrame, stage: Stage, radius: int = RADIUS, buc
                 continue
             # the last unit may go on in the next batch
             end = len(held[0]) if batch is None else int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if held[0][0] != held[0][-1] else 0
-            a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for x, y in _bucket_links(held[0][:end], held[1][:end], held[2][:end].view(np.uint64), radius) if end else ():
-                a.append(x)
-                b.append(y)
-            u, v = (np.concatenate(x).view(np.int64) for x in (a, b))
+            key, side, node, prints = (x[:end] for x in held)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in _bucket_links(key, side, prints.view(np.uint64), radius) if end else ():
+                a.append(node[x])
+                b.append(node[y])
+            u, v = np.concatenate(a), np.concatenate(b)
             if len(u):
                 u, v = star_forest(u, v)
             held = [x[end:] for x in held]
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return stage.write(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long"))
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long")
+
+
+def link_fingerprints(prints: DataFrame, stage: Stage, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """u, v: links of distinct fingerprints, enough to join all within the radius. prints: distinct fp long."""
+    masks = F.array(*[F.lit(_signed(m)) for m in block_masks(radius)])
+    rows = prints.select("fp", F.posexplode(masks).alias("t", "mask")).select("fp", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
+    units = _units(rows, bucket_rows, "fp").select("unit", "side", F.col("fp").alias("node"), "fp")
+    return stage.write(_links_in_units(units, radius))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -278,3 +296,119 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_print = stage.write(named.join(least, "component").select("fp", "component_id"))
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For near-duplicates by similarity: words to a shingle, the similarity, the radius within
+#: which such texts' fingerprints lie, and min-hashes that bring them into one bucket.
+SIMILAR_WORDS, SIMILARITY, SIMILAR_RADIUS = 5, 0.8, 20
+BANDS, BAND_ROWS = 10, 2
+#: Texts of a candidate component that are compared in one unit.
+COMPONENT_ROWS = 256
+
+
+def _band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band of min-hashes; texts without shingles have none."""
+    if not len(hashes):
+        return []
+    rng = np.random.default_rng(23)
+    a = rng.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+    b = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+    mixed = hashes ^ (hashes >> np.uint64(32))
+    least = np.full(len(a), _ONES)
+    for at in range(0, len(mixed), 1 << 14):
+        least = np.minimum(least, (a[:, None] * mixed[None, at : at + (1 << 14)] + b[:, None]).min(axis=1))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    keys = rows[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ (rows[:, 1] >> np.uint64(7)) + np.arange(BANDS, dtype=np.uint64)
+    return keys.view(np.int64).tolist()
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, node, fp and bands of each row. node: hash of the text."""
+    bounded_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            prints, bands = [], []
+            for text in batch.column(2):
+                hashes = shingle_hashes(text.as_py(), SIMILAR_WORDS)
+                prints.append(print_of(hashes))
+                bands.append(_band_keys(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "bands"])
+
+    return docs.select("doc_id", _node(), "text").mapInArrow(run, f"doc_id {kind}, node long, fp long, bands array<long>")
+
+
+def _node():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("node")
+
+
+def _similar_links(units: DataFrame, similarity: float) -> DataFrame:
+    """u, v: links of nodes whose shingle sets are similar enough. units: unit, side, node, text."""
+
+    def links(rows):
+        rows = sorted({r[1]: r for r in rows}.values(), key=lambda r: (r[0], r[1]))
+        sets = [np.unique(shingle_hashes(r[2], SIMILAR_WORDS)) for r in rows]
+        sizes = np.array([len(x) for x in sets])
+        starts = np.cumsum(sizes) - sizes
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        marks = np.zeros(ids.max(initial=0) + 1, np.int64)
+
+        def reach(at, sought):
+            own = ids[starts[at] : starts[at] + sizes[at]]
+            marks[own] = 1
+            shared = np.add.reduceat(marks[ids], starts)
+            marks[own] = 0
+            open_ = np.unpackbits(sought.view(np.uint8), bitorder="little")[: len(rows)] > 0
+            return np.flatnonzero(open_ & (shared >= similarity * (sizes + sizes[at] - shared)))
+
+        parted = 0 if rows[0][0] == 2 else sum(r[0] == 0 for r in rows)
+        if len(rows) < 2 or rows[0][0] != 2 and not 0 < parted < len(rows):
+            return [], []
+        a, b = breadth_first(len(rows), parted, reach)
+        return [rows[k][1] for k in a], [rows[k][1] for k in b]
+
+    def run(batches):
+        unit, held = None, []
+        for batch in itertools.chain(batches, [None]):
+            u, v = [], []
+            for key, *row in zip(*(batch.column(k).to_pylist() for k in range(4))) if batch is not None else [(None,)]:
+                if key != unit or batch is None:
+                    if held:
+                        a, b = links(held)
+                        u += a
+                        v += b
+                    unit, held = key, []
+                if row:
+                    held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long")
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, bucket_rows: int = BUCKET_ROWS, component_rows: int = COMPONENT_ROWS) -> DataFrame:
+    """doc_id, component_id: texts joined by links of that similarity of five-word shingle sets.
+
+    A radius of a few bits misses most texts of similarity 0.8, whose fingerprints differ
+    in up to 15 bits or so, and no cover by equal blocks is selective at such a radius.
+    Buckets here are bands of two min-hashes (0.99996 of pairs at 0.8 share one of ten).
+    In them the bit-sliced comparison joins fingerprints within the radius to candidate
+    components, and in those the shingle sets are compared exactly, breadth first, so
+    that only texts with a likely partner are read again. Equal texts are one node;
+    texts without words are similar to nothing else.
+    """
+    stage = Stage(docs.sparkSession, "similar")
+    rows = stage.write(_sketches(docs))
+    nodes = stage.write(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    buckets = nodes.select("node", "fp", F.explode("bands").alias("bucket"))
+    near = stage.write(_links_in_units(_units(buckets, bucket_rows, "node", "fp"), radius))
+    likely = connected_components(near, stage)
+    members = likely.join(nodes.select("node", "rep"), "node").select("node", "rep", F.col("component").alias("bucket"))
+    dealt = _units(members, component_rows, "node", "rep")
+    source = docs.select(_node(), "doc_id", "text")
+    texts = dealt.join(source, (dealt["node"] == source["node"]) & dealt["rep"].eqNullSafe(source["doc_id"])).select("unit", "side", dealt["node"], "text")
+    component = connected_components(stage.write(_similar_links(texts, similarity)), stage)
+    named = nodes.join(component, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_node = stage.write(named.join(least, "component").select("node", "component_id"))
+    return rows.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")

@@ -257,7 +257,49 @@ def test_bit_sliced_links(spark):
         assert sorted(Counter(got.values()).values()) == [g for g in groups if g > 1]
     x = np.array(sorted(prints), np.uint64)
     a, b = simhash.links_of_block(x, 4)
-    assert {(int(p) ^ int(q)).bit_count() <= 4 for p, q in zip(a, b)} == {True} and len(a) == len(x) - len(groups)
+    assert {(int(p) ^ int(q)).bit_count() <= 4 for p, q in zip(x[a], x[b])} == {True} and len(a) == len(x) - len(groups)
+    planes = simhash.bit_planes(x ^ x[0])
+    for radius in (0, 4, 7, 11, 20, 31):
+        far = np.unpackbits(simhash.far_bits(planes, radius).view(np.uint8), bitorder="little")[: len(x)]
+        assert far.tolist() == [int((int(v) ^ int(x[0])).bit_count() > radius) for v in x]
+
+
+def test_similar_documents(spark, docs, pairs):
+    rng = random.Random(12)
+    rows = []
+    for group in range(12):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 6) + str(rng.randrange(50)) for _ in range(rng.randrange(40, 200))]
+        for _ in range(8):
+            own = list(base)
+            for _ in range(rng.randrange(5)):
+                own[rng.randrange(len(own))] = f"w{rng.random()}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(500, rows[0][1].upper().replace(" ", "\n")), (501, ""), (502, None), (503, "few words"), (504, "few words"), (None, rows[9][1])]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (rows[a][1] or "") == (rows[b][1] or "") or sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        if d is not None:
+            least.setdefault(find(k), d)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter((d, least[find(k)]) for k, (d, _) in enumerate(rows))
+    assert bag(simhash.similar_documents(df).collect(), "doc_id", "component_id") == want
+    assert bag(simhash.similar_documents(df, bucket_rows=4, component_rows=3).collect(), "doc_id", "component_id") == want
+    assert simhash.similar_documents(df.limit(0)).count() == 0
 
 
 def test_substrings(docs, pairs, spark):
