@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,22 +27,42 @@ SCOPE_PHRASES = (
 SCOPE_CHARS = 1200
 
 
+#: Rows up to which the weighted query terms are broadcast to the postings; more are joined by shuffle.
+BROADCAST_TERMS = 200_000
+
+
 @dataclass
 class LexicalIndex:
-    """postings: id, term, tf, length; terms: term, idf; scale: one row of mean length."""
+    """postings: id, length, counts (array of term, tf) of each document; terms: term, idf; scale: one row of mean length."""
 
     postings: DataFrame
     terms: DataFrame
     scale: DataFrame
 
 
+def _counted(own: Column) -> Column:
+    """Terms of a token array with their numbers."""
+
+    @F.arrow_udf("array<struct<term:string,tf:int>>")
+    def count(tokens_: pa.Array) -> pa.Array:
+        ends, terms, numbers = [0], [], []
+        for row in tokens_.to_pylist():
+            own_ = Counter(row or ())
+            terms += own_.keys()
+            numbers += own_.values()
+            ends.append(len(terms))
+        pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(numbers, pa.int32())], ["term", "tf"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+    return count(own)
+
+
 def lexical_index(docs: DataFrame, id_: str, text: str) -> LexicalIndex:
-    """BM25 tables of the (prefixed) text. The counts are summed before they are shuffled."""
-    tokenised = docs.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("own"))
-    sized = tokenised.select("id", "own", F.size("own").alias("length"))
-    postings = sized.select("id", "length", F.explode("own").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    scale = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    """BM25 tables of the (prefixed) text. A document's terms are counted where its row is; only sums by term are shuffled."""
+    own = tokens(F.col(text))
+    postings = docs.select(F.col(id_).alias("id"), F.coalesce(F.size(own), F.lit(0)).alias("length"), _counted(own).alias("counts"))
+    scale = postings.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    df = postings.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(scale)).select("term", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     terms = raw.join(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
@@ -51,9 +72,10 @@ def lexical_index(docs: DataFrame, id_: str, text: str) -> LexicalIndex:
 def lexical_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """query_id, id, score > 0. queries: query_id, question. A term counts as often as the query holds it."""
     asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("asked"))
-    weighted = asked.join(index.terms, "term")
-    # only postings of asked terms go on
-    found = index.postings.join(weighted, "term").join(F.broadcast(index.scale))
+    weighted = index.terms.join(asked, "term")
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        weighted = F.broadcast(index.terms.join(F.broadcast(asked), "term"))
+    found = index.postings.select("id", "length", F.inline("counts")).join(weighted, "term").join(F.broadcast(index.scale))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     part = F.col("asked") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     scored = found.groupBy("query_id", "id").agg(F.sum(part).alias("score"))

@@ -50,14 +50,16 @@ def _index(spark, d):
 
 
 def _qrels(spark, d):
-    """Item and document pairs by containment: anchored on the item's rarest token, so that no pair is tried without a shared word."""
+    """Item and document pairs by containment: anchored on the item's longest inner token, so that no pair is tried without a shared word."""
     from ..functions.text import tokens
 
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("wanted"), F.array_sort(F.array_distinct(tokens(F.col("text"))), lambda a, b: F.length(b) - F.length(a)).alias("own"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("wanted"), F.array_sort(F.slice(tokens(F.col("text")), 2, F.greatest(F.lit(1), F.size(tokens(F.col("text"))) - 2)), lambda a, b: F.length(b) - F.length(a)).alias("own"))
     keyed = items.select("query_id", "wanted", F.get("own", F.lit(0)).alias("anchor"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("anchor"))
-    # the last token of the item may go on in the document, so inner tokens alone are anchors
-    return docs.join(F.broadcast(keyed), "anchor").where(F.contains(F.col("text"), F.col("wanted"))).select("query_id", "id", "lang")
+    anchors = keyed.agg(F.collect_set("anchor").alias("anchors"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "text", tokens(F.col("text")).alias("own")).join(F.broadcast(anchors))
+    near = docs.select("id", "lang", "text", F.explode(F.array_intersect("own", "anchors")).alias("anchor"))
+    # first and last tokens may go on in the document and are no anchors
+    return near.join(F.broadcast(keyed), "anchor").where(F.contains(F.col("text"), F.col("wanted"))).select("query_id", "id", "lang")
 
 
 @query("WITH " + BM25_SQL + """ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored)
@@ -121,7 +123,7 @@ SELECT query_id, rank::INTEGER AS rank, id AS doc_id, round(score, 6) AS score F
 def rrf_hybrid(spark, d):
     index = _index(spark, d)
     scored = re_.lexical_scores(index, _questions(spark, d)).withColumn("score", F.round("score", 9))
-    length = index.postings.groupBy("id").agg(F.max("length").alias("length"))
+    length = index.postings.select("id", "length")
     a = re_.top_k(scored, 50).select("query_id", "id", "rank", F.lit(0).alias("list_no"))
     b = re_.top_k(scored.join(length, "id").withColumn("short", -F.col("length")), 50, "short").select("query_id", "id", "rank", F.lit(1).alias("list_no"))
     return re_.reciprocal_rank_fusion(a.unionByName(b), 10).select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))

@@ -108,8 +108,8 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_lexical_index(index, path: str) -> None:
-    """The BM25 tables, postings clustered by term so that a lookup reads few row groups."""
-    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    """The BM25 tables."""
+    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     index.scale.write.mode("overwrite").parquet(f"{path}/scale")
 
