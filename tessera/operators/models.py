@@ -96,6 +96,34 @@ def walk_forward(frame: DataFrame, features: list[str], target: str, year: str =
     return spread.groupBy("fold").applyInPandas(run, FOLD)
 
 
+def walk_forward_trees(frame: DataFrame, features: list[str], target: str, year: str = "fiscal_year", min_train: int = MIN_TRAIN, **settings) -> DataFrame:
+    """The folds of walk_forward with gradient-boosted trees: fold, n_train, n_test, ic, rmse, baseline_rmse.
+
+    One model a test year (few, by the study), each fitted by the cluster; medians are
+    those of the training rows.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = prepared(frame, features, target).select(year, *features, target)
+    sizes = {r[0]: r[1] for r in rows.groupBy(year).count().orderBy(year).collect()}
+    out = None
+    for fold, n_test in sizes.items():
+        n_train = sum(n for y, n in sizes.items() if y < fold)
+        if n_train < min_train or n_test < MIN_TEST:
+            continue
+        train, test = rows.where(F.col(year) < fold), rows.where(F.col(year) == fold)
+        row = train.agg(*[F.percentile(f, F.lit(0.5)).alias(f) for f in features], F.avg(target).alias("base")).first()
+        medians = {f: row[f] for f in features if row[f] is not None}
+        assembler = VectorAssembler(inputCols=list(medians), outputCol="x")
+        model = GBTRegressor(featuresCol="x", labelCol=target, seed=7, **({"maxIter": 20, "maxDepth": 3} | settings)).fit(assembler.transform(train.na.fill(medians)))
+        scored = model.transform(assembler.transform(test.na.fill(medians))).select(F.lit(fold).alias("fold"), "prediction", target)
+        errors = scored.groupBy("fold").agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col(target), 2))).alias("rmse"), F.sqrt(F.avg(F.pow(F.lit(row["base"]) - F.col(target), 2))).alias("baseline_rmse"))
+        own = errors.join(spearman(scored, "prediction", target, "fold"), "fold").select("fold", F.lit(n_train).alias("n_train"), F.lit(n_test).alias("n_test"), "ic", "rmse", "baseline_rmse")
+        out = own if out is None else out.unionByName(own)
+    return out if out is not None else frame.sparkSession.createDataFrame([], "fold int, n_train int, n_test int, ic double, rmse double, baseline_rmse double")
+
+
 def summary(folds: DataFrame) -> DataFrame:
     gain = 1 - F.try_divide("rmse", "baseline_rmse")
     out = folds.agg(F.count("*").alias("n_folds"), F.round(F.avg("ic"), 4).alias("mean_ic"), F.round(F.stddev_pop("ic"), 4).alias("std_ic"), F.round(F.avg("auc"), 4).alias("mean_auc"), F.round(F.avg(gain), 4).alias("rmse_gain"))

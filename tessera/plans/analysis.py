@@ -446,6 +446,11 @@ def walk_forward_ridge(spark, d):
     return out.select("fold", "n_train", "n_test", *[F.round(c, 6).alias(c) for c in ("ic", "auc", "rmse", "baseline_rmse")])
 
 
+@query()
+def walk_forward_trees(spark, d):
+    return mo.walk_forward_trees(_frame(spark, d), ["a", "b", "c", "e"], "target", maxIter=5)
+
+
 @query()
 def permutation(spark, d):
     return mo.permutation_test(_frame(spark, d), ["a", "b", "c", "e"], "target", permutations=50)
@@ -479,3 +484,48 @@ def bottleneck_diagnosis(spark, d):
     q, t = F.col("quality") == 1, F.col("toxic") == 0
     a = table(spark, d, "labels").agg((F.count_if(q & t) / F.count("*")).alias("accuracy"), (F.count_if(q | t) / F.count("*")).alias("ceiling"))
     return a.select(F.round("accuracy", 6).alias("accuracy"), F.round("ceiling", 6).alias("ceiling"), ve.diagnosis(F.col("accuracy"), F.col("ceiling")).alias("diagnosis"))
+
+
+@query("WITH " + BM25_SQL + QRELS_SQL + """ranked AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored) WHERE rank <= 6)
+SELECT count(DISTINCT q.query_id) AS n, count(DISTINCT r.query_id) AS reachable, round(count(DISTINCT r.query_id) / count(DISTINCT q.query_id), 6) AS ceiling FROM qrels q LEFT JOIN ranked r ON r.query_id = q.query_id AND r.id = q.id""")
+def retrieval_ceiling(spark, d):
+    """The share of labelled items whose context of six holds a relevant document."""
+    scored = re_.lexical_scores(_index(spark, d), _questions(spark, d)).withColumn("score", F.round("score", 9))
+    found = re_.query_scores(re_.top_k(scored, 6), _qrels(spark, d))
+    return found.agg(F.count("*").alias("n"), F.count_if(F.col("rr") > 0).alias("reachable"), F.round(F.avg((F.col("rr") > 0).cast("double")), 6).alias("ceiling"))
+
+
+@query("""SELECT count(*) AS pending, count(*) * 3 AS calls, count(*) * 3 * 3300 AS tokens, round(count(*) * 3 * 3300 * 0.15 / 1e6, 6) AS cost
+FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') < 2)""")
+def cost_estimate(spark, d):
+    """Calls, tokens and cost of the conversations that are not done, before any work."""
+    own = table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("n")).where("n < 2")
+    n = F.count("*")
+    return own.agg(n.alias("pending"), (n * 3).alias("calls"), (n * 3 * 3300).alias("tokens"), F.round(su.call_cost(n * 3 * 3300, F.lit(0), F.lit(0.15), F.lit(0.0)), 6).alias("cost"))
+
+
+@query()
+def gate_totals(spark, d):
+    """Unsupported and checked claims over all memos."""
+    own = claims_gate(spark, d)
+    return own.agg(F.sum("n_unsupported").alias("unsupported"), F.sum("n_checked").alias("checked"), F.round(F.try_divide(F.sum("n_unsupported"), F.sum("n_checked")), 6).alias("share"), F.round(F.avg(F.try_divide(F.col("words_after") * 100.0, F.col("words_before"))), 3).alias("retained_pct"))
+
+
+@query()
+def selected_facts(spark, d):
+    """The fact chains on payloads made of orders: two tags, durations of 365 and 90 days, and an instant."""
+    o = table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("accession"), F.to_date("o_orderdate").alias("period_of_report"), "o_custkey", "o_totalprice", "o_orderkey")
+    end = F.col("period_of_report").cast("string")
+
+    def fact(days, value, form):
+        start = F.date_sub("period_of_report", days).cast("string") if days else F.lit(None).cast("string")
+        return F.struct(start.alias("start"), end.alias("end"), value.alias("val"), F.col("accession").alias("accn"), F.year("period_of_report").alias("fy"), F.lit("FY").alias("fp"), F.lit(form).alias("form"))
+
+    def tag(*facts):
+        return F.struct(F.create_map(F.lit("USD"), F.array(*facts)).alias("units"))
+
+    price = F.col("o_totalprice")
+    income = F.when(F.col("o_orderkey") % 100 == 0, F.lit("NetIncomeLoss")).otherwise("ProfitLoss")
+    tags = F.create_map(income, tag(fact(90, price / 4, "10-K"), fact(365, price, "8-K"), fact(365, price * 2, "10-K")), F.lit("Assets"), tag(fact(0, price * 9, "10-K")))
+    payloads = o.select(F.col("o_custkey").alias("cik"), F.lit("T").alias("ticker"), F.create_map(F.lit("us-gaap"), tags).alias("facts"))
+    return fa.select_facts(fa.flat_facts(payloads), o, fa.tag_chains(spark)).select("accession", "metric", "xbrl_tag", "value", "is_instant", "fiscal_year")
