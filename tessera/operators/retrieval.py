@@ -61,8 +61,8 @@ def lexical_index(docs: DataFrame, id_: str, text: str) -> LexicalIndex:
     """BM25 tables of the (prefixed) text. A document's terms are counted where its row is; only sums by term are shuffled."""
     own = tokens(F.col(text))
     postings = docs.select(F.col(id_).alias("id"), F.coalesce(F.size(own), F.lit(0)).alias("length"), _counted(own).alias("counts"))
-    scale = postings.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    df = postings.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    scale = docs.select(F.coalesce(F.size(own), F.lit(0)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    df = docs.select(F.explode(F.array_distinct(own)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(scale)).select("term", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     terms = raw.join(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
