@@ -300,8 +300,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_
 
 #: For near-duplicates by similarity: words to a shingle, the similarity, the radius within
 #: which such texts' fingerprints lie, and min-hashes that bring them into one bucket.
-SIMILAR_WORDS, SIMILARITY, SIMILAR_RADIUS = 5, 0.8, 20
+SIMILAR_WORDS, SIMILARITY, SIMILAR_RADIUS = 5, 0.8, 24
 BANDS, BAND_ROWS = 10, 2
+#: Texts of up to so many distinct shingles are compared by their shingles in the buckets.
+FEW_SHINGLES = 80
 #: Texts of a candidate component that are compared in one unit.
 COMPONENT_ROWS = 256
 
@@ -323,20 +325,22 @@ def _band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node, fp and bands of each row. node: hash of the text."""
+    """doc_id, node, fp, bands and few of each row. node: hash of the text; few: its distinct shingles, null beyond FEW_SHINGLES."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            prints, bands = [], []
+            prints, bands, few = [], [], []
             for text in batch.column(2):
-                hashes = shingle_hashes(text.as_py(), SIMILAR_WORDS)
+                hashes = np.unique(shingle_hashes(text.as_py(), SIMILAR_WORDS))
                 prints.append(print_of(hashes))
                 bands.append(_band_keys(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "bands"])
+                few.append(hashes.view(np.int64).tolist() if len(hashes) <= FEW_SHINGLES else None)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (bands, few)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), *lists], names=["doc_id", "node", "fp", "bands", "few"])
 
-    return docs.select("doc_id", _node(), "text").mapInArrow(run, f"doc_id {kind}, node long, fp long, bands array<long>")
+    return docs.select("doc_id", _node(), "text").mapInArrow(run, f"doc_id {kind}, node long, fp long, bands array<long>, few array<long>")
 
 
 def _node():
@@ -344,17 +348,21 @@ def _node():
 
 
 def _similar_links(units: DataFrame, similarity: float) -> DataFrame:
-    """u, v: links of nodes whose shingle sets are similar enough. units: unit, side, node, text."""
+    """u, v: links of nodes whose shingle sets are similar enough. units: unit, side, node, and text or distinct shingles."""
 
     def links(rows):
         rows = sorted({r[1]: r for r in rows}.values(), key=lambda r: (r[0], r[1]))
-        sets = [np.unique(shingle_hashes(r[2], SIMILAR_WORDS)) for r in rows]
+        if len(rows) < 2:
+            return [], []
+        sets = [np.array(r[2], np.int64) if isinstance(r[2], list) else np.unique(shingle_hashes(r[2], SIMILAR_WORDS)).view(np.int64) for r in rows]
         sizes = np.array([len(x) for x in sets])
         starts = np.cumsum(sizes) - sizes
         ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
         marks = np.zeros(ids.max(initial=0) + 1, np.int64)
 
         def reach(at, sought):
+            if not sought.any():
+                return np.zeros(0, np.int64)
             own = ids[starts[at] : starts[at] + sizes[at]]
             marks[own] = 1
             shared = np.add.reduceat(marks[ids], starts)
@@ -363,7 +371,7 @@ def _similar_links(units: DataFrame, similarity: float) -> DataFrame:
             return np.flatnonzero(open_ & (shared >= similarity * (sizes + sizes[at] - shared)))
 
         parted = 0 if rows[0][0] == 2 else sum(r[0] == 0 for r in rows)
-        if len(rows) < 2 or rows[0][0] != 2 and not 0 < parted < len(rows):
+        if rows[0][0] != 2 and not 0 < parted < len(rows):
             return [], []
         a, b = breadth_first(len(rows), parted, reach)
         return [rows[k][1] for k in a], [rows[k][1] for k in b]
@@ -389,25 +397,31 @@ def _similar_links(units: DataFrame, similarity: float) -> DataFrame:
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, bucket_rows: int = BUCKET_ROWS, component_rows: int = COMPONENT_ROWS) -> DataFrame:
     """doc_id, component_id: texts joined by links of that similarity of five-word shingle sets.
 
-    A radius of a few bits misses most texts of similarity 0.8, whose fingerprints differ
-    in up to 15 bits or so, and no cover by equal blocks is selective at such a radius.
-    Buckets here are bands of two min-hashes (0.99996 of pairs at 0.8 share one of ten).
-    In them the bit-sliced comparison joins fingerprints within the radius to candidate
-    components, and in those the shingle sets are compared exactly, breadth first, so
-    that only texts with a likely partner are read again. Equal texts are one node;
-    texts without words are similar to nothing else.
+    A radius of a few bits misses most texts of similarity 0.8, and no cover by equal
+    blocks is selective at the radius they need. Buckets here are bands of two min-hashes
+    (0.99996 of pairs at 0.8 share one of ten). In them the bit-sliced comparison joins
+    fingerprints within the radius to candidate components, and in those the shingle sets
+    are compared exactly, breadth first, so that only texts with a likely partner are read
+    again. Fingerprints are of distinct shingles, as the sets are: repeats move no bit.
+    With few shingles a bit hangs on one of them and no radius holds; such texts carry
+    their shingles into the buckets and are compared exactly there, whatever their
+    fingerprints. Equal texts are one node; texts without words are similar to nothing else.
     """
     stage = Stage(docs.sparkSession, "similar")
     rows = stage.write(_sketches(docs))
-    nodes = stage.write(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    buckets = nodes.select("node", "fp", F.explode("bands").alias("bucket"))
+    nodes = stage.write(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("fp", "bands", "few")]))
+    # a text of few shingles has partners beyond FEW_SHINGLES only near that number
+    many = nodes.where(F.col("few").isNull() | (F.size("few") > similarity * FEW_SHINGLES))
+    buckets = many.select("node", "fp", F.explode("bands").alias("bucket"))
     near = stage.write(_links_in_units(_units(buckets, bucket_rows, "node", "fp"), radius))
+    small = nodes.where(F.col("few").isNotNull()).select("node", "few", F.explode("bands").alias("bucket"))
+    short = _similar_links(_units(small, bucket_rows, "node", "few"), similarity)
     likely = connected_components(near, stage)
     members = likely.join(nodes.select("node", "rep"), "node").select("node", "rep", F.col("component").alias("bucket"))
     dealt = _units(members, component_rows, "node", "rep")
     source = docs.select(_node(), "doc_id", "text")
     texts = dealt.join(source, (dealt["node"] == source["node"]) & dealt["rep"].eqNullSafe(source["doc_id"])).select("unit", "side", dealt["node"], "text")
-    component = connected_components(stage.write(_similar_links(texts, similarity)), stage)
+    component = connected_components(stage.write(_similar_links(texts, similarity).unionByName(short)), stage)
     named = nodes.join(component, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_node = stage.write(named.join(least, "component").select("node", "component_id"))
