@@ -11,6 +11,8 @@ from ..functions.stats import average_rank
 ALPHA = 10.0
 MIN_TRAIN, MIN_TEST = 40, 5
 PERMUTATIONS = 200
+#: Tasks of a permutation test; each takes the frame once.
+TASKS = 16
 FOLD = "fold int, n_train int, n_test int, ic double, auc double, rmse double, baseline_rmse double, coefficients map<string,double>"
 
 
@@ -133,24 +135,26 @@ def summary(folds: DataFrame) -> DataFrame:
 def permutation_test(frame: DataFrame, features: list[str], target: str, year: str = "fiscal_year", permutations: int = PERMUTATIONS, seed: int = 7, alpha: float = ALPHA, min_train: int = MIN_TRAIN) -> DataFrame:
     """observed, p, null_mean, null_std, null_p95, n: mean IC against targets shuffled within each year.
 
-    Permutation 0 is the identity. The shuffles are numbered and spread over the cluster;
-    each takes the (small, bounded by the study) frame as one row of arrays.
+    Permutation 0 is the identity. The shuffles are numbered and dealt to TASKS tasks;
+    each takes the (bounded by the study) frame once, as one row of arrays.
     """
     rows = prepared(frame, features, target)
     columns = [year, *features, target]
     packed = rows.select(*columns).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
-    tasks = packed.select("rows", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("permutation")).repartition(16, "permutation")
+    tasks = packed.select("rows", F.explode(F.sequence(F.lit(0), F.lit(min(permutations, TASKS - 1)))).alias("task")).repartition(TASKS, "task")
 
     def run(batches):
         for batch in batches:
             out = []
-            for number, own in zip(batch["permutation"], batch["rows"]):
-                data = pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in own], columns=columns)
-                if number:
-                    rng = np.random.default_rng([seed, int(number)])
-                    data[target] = data.groupby(year)[target].transform(lambda y: rng.permutation(y.to_numpy()))
-                ics = [f["ic"] for f in folds_of(data, year, features, target, alpha, min_train) if f["ic"] is not None]
-                out.append((int(number), float(np.mean(ics)) if ics else None))
+            for task, own in zip(batch["task"], batch["rows"]):
+                frame = pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in own], columns=columns)
+                for number in range(int(task), permutations + 1, TASKS):
+                    data = frame.copy()
+                    if number:
+                        rng = np.random.default_rng([seed, number])
+                        data[target] = data.groupby(year)[target].transform(lambda y: rng.permutation(y.to_numpy()))
+                    ics = [f["ic"] for f in folds_of(data, year, features, target, alpha, min_train) if f["ic"] is not None]
+                    out.append((number, float(np.mean(ics)) if ics else None))
             yield pd.DataFrame(out, columns=["permutation", "ic"])
 
     ics = tasks.mapInPandas(run, "permutation int, ic double")

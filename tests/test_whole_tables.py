@@ -17,3 +17,15 @@ def test_stream_counts_every_event_of_many_files(spark, tmp_path):
     want = events.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     found = QUERIES["ext_streaming_windows"](spark, str(tmp_path)).withColumn("total", F.round("total", 6))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_studies_take_all_orders_and_the_operators_defaults(spark, monkeypatch):
+    from tessera.plans import analysis
+
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet")
+    years = dict(orders.groupBy(F.year("o_orderdate")).agg(F.count_distinct("o_custkey")).collect())
+    ridge = {r.fold: r.n_test for r in QUERIES["walk_forward_ridge"](spark, SMALL).collect()}
+    assert ridge and ridge == {y: years[y] for y in ridge} and len(ridge) >= len(years) - 1
+    assert QUERIES["permutation"](spark, SMALL).first().n == 200
+    monkeypatch.setattr(analysis.mo, "walk_forward_trees", lambda frame, *_, **settings: (frame.count(), settings))
+    assert QUERIES["walk_forward_trees"](spark, SMALL) == (sum(years.values()), {})
