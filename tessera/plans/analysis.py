@@ -514,7 +514,7 @@ def gate_totals(spark, d):
 @query()
 def selected_facts(spark, d):
     """The fact chains on payloads made of orders: two tags, durations of 365 and 90 days, and an instant."""
-    o = table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("accession"), F.to_date("o_orderdate").alias("period_of_report"), "o_custkey", "o_totalprice", "o_orderkey")
+    o = table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("accession"), F.to_date("o_orderdate").alias("period_of_report"), "o_custkey", "o_totalprice", "o_orderkey")
     end = F.col("period_of_report").cast("string")
 
     def fact(days, value, form):

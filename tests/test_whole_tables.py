@@ -29,3 +29,8 @@ def test_studies_take_all_orders_and_the_operators_defaults(spark, monkeypatch):
     assert QUERIES["permutation"](spark, SMALL).first().n == 200
     monkeypatch.setattr(analysis.mo, "walk_forward_trees", lambda frame, *_, **settings: (frame.count(), settings))
     assert QUERIES["walk_forward_trees"](spark, SMALL) == (sum(years.values()), {})
+
+
+def test_every_order_has_facts(spark):
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    assert QUERIES["selected_facts"](spark, SMALL).select("accession").distinct().count() == orders
