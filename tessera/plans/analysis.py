@@ -343,13 +343,14 @@ def claims_gate(spark, d):
 
 @query()
 def sectionise(spark, d):
-    """Sections of reports made of the documents: each source's first texts under numbered headings."""
+    """Sections of reports made of the documents: each run of five texts of a source under numbered headings."""
     docs = table(spark, d, "documents")
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
     items = F.array(*[F.lit(i) for i in ("1", "1A", "7", "7A", "8")])
-    parts = docs.withColumn("place", place).where("place <= 5").select("source", "place", F.concat(F.lit("Item "), F.get(items, F.col("place") - 1), F.lit(". Part\n"), F.repeat(F.concat("text", F.lit("\n\n")), 12)).alias("part"))
-    reports = parts.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"]), "").alias("text"))
-    return se.section_table(reports.select(F.col("source").alias("accession"), "text")).select("accession", "item", "char_start", "char_end", "n_tokens", "detect_method", F.md5("text").alias("digest"))
+    parts = docs.withColumn("at", place).select(F.concat_ws("-", "source", F.floor(F.col("at") / 5).cast("string")).alias("accession"), (F.col("at") % 5).alias("place"), "text")
+    part = lambda x: F.concat(F.lit("Item "), F.get(items, x["place"]), F.lit(". Part\n"), F.repeat(F.concat(x["text"], F.lit("\n\n")), 12))
+    reports = parts.groupBy("accession").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), part), "").alias("text"))
+    return se.section_table(reports).select("accession", "item", "char_start", "char_end", "n_tokens", "detect_method", F.md5("text").alias("digest"))
 
 
 @query()

@@ -34,3 +34,10 @@ def test_studies_take_all_orders_and_the_operators_defaults(spark, monkeypatch):
 def test_every_order_has_facts(spark):
     orders = spark.read.parquet(f"{SMALL}/orders.parquet").count()
     assert QUERIES["selected_facts"](spark, SMALL).select("accession").distinct().count() == orders
+
+
+def test_every_run_of_five_documents_is_sectionised(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = docs.groupBy("source").agg(F.ceil(F.count("*") / 5).alias("n")).agg(F.sum("n")).first()[0]
+    found = QUERIES["sectionise"](spark, SMALL).select("accession").distinct().count()
+    assert found == want > docs.select("source").distinct().count()
