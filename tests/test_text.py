@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import html_dom, stats, text
-from tessera.operators import chunks, claims, sections, surfaces
+from tessera.operators import claims, surfaces
 
 
 def value(spark, column, **cells):
@@ -49,88 +49,65 @@ def test_html_tables_comments_and_nesting():
     assert html_dom.read_html(None) is None and html_dom.read_html("")["text"] == ""
 
 
-def report(parts, contents=True):
-    toc = "".join(f"Item {i}. {t}\n" for i, t in sections.ITEMS.items()) if contents else ""
-    return toc + "cover page words " * 200 + "\n" + "".join(parts)
-
-
-def body(item, words=1500):
-    return f"Item {item}. Heading\n" + "real words here. " * words + "\n"
-
-
-def test_sections_follow_the_contents():
-    text_ = report([body(i) for i in ("1", "1A", "7", "7A", "8")])
-    got = sections.sectionise(text_)
-    assert list(got["sections"]) == ["1", "1A", "7", "7A", "8"] and not got["missing"]
-    spans = list(got["sections"].values())
-    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and spans[0][0] > got["span"][1]
-
-
-def test_cross_references_and_short_sections_are_rejected():
-    text_ = report([body("1"), body("1A"), "Item 7A. Market risk\nRefer to the discussion on pages 141-149.\n", body("8")])
-    got = sections.sectionise(text_)
-    assert "7A: stub" in got["rejected"] and {"7", "7A"} <= set(got["missing"])
-    assert sections.is_stub("Item 7A\nRefer to pages 3-5.") and not sections.is_stub("x\n" + "refer to page 3 " * 90)
-
-
-def test_titles_stand_in_for_numbers():
-    text_ = report([body("1"), "Risk Factors\n" + "real words here. " * 1500 + "\n", body("7")], contents=False)
-    got = sections.sectionise(text_)
-    assert got["sections"]["1A"][2] == "title-fallback" and any("title" in w for w in got["warnings"])
-
-
-def test_empty_document():
-    got = sections.sectionise(None)
-    assert got["sections"] == {} and len(got["missing"]) == len(sections.TARGETS)
-
-
-def test_chunks_balance_and_lose_nothing():
-    prose = "\n\n".join(" ".join(f"w{k}_{i}" for i in range(200)) for k in range(3))
-    table = "[TABLE]\nhead | x\n" + "\n".join(f"row {i} | {i}" for i in range(400)) + "\n[/TABLE]"
-    got = chunks.chunk_section(f"[/TABLE] {prose}\n\n{table}\n\nend words [TABLE]", "acc", "1A", {"ticker": "T", "fiscal_year": 2024})
-    for c in got:
-        assert c["raw_text"].count("[TABLE]") == c["raw_text"].count("[/TABLE]")
-        assert c["n_tokens"] <= 1.6 * chunks.MAX_TOKENS and c["text"].startswith("T | FY2024 | Item 1A")
-        assert "head | x" in c["raw_text"] or "[TABLE]" not in c["raw_text"]
-    assert [c["chunk_index"] for c in got] == list(range(len(got))) and len({c["chunk_id"] for c in got}) == len(got)
-    words = set(" ".join(c["raw_text"] for c in got).split())
-    assert {f"w{k}_{i}" for k in range(3) for i in range(200)} <= words and {"399"} <= words
-
-
-def test_repeats_alone_make_no_chunk():
-    blocks = [chunks._block(" ".join(["w"] * 300), "prose", k) for k in range(4)]
-    names = [[b.start for b in run] for run in chunks.pack(blocks, keep_repeats=True)]
-    assert names == [[0], [0, 1], [1], [1, 2], [2], [2, 3], [3]]
-    fresh = [[b.start for b in run] for run in chunks.pack(blocks)]
-    assert sorted({s for run in fresh for s in run}) == [0, 1, 2, 3] and len(fresh) < len(names)
-
-
-def claim_values(text_):
-    return [(c["raw"], c["value"], c["is_percentage"]) for c in claims.claims_of(text_)]
-
-
-def test_figures_years_and_small_numbers():
-    assert claim_values("In fiscal 2024 the 12 segments earned $6 and 3 regions") == [("$6", 6.0, False)]
-    assert claim_values("$2,024 million") == [("$2,024 million", 2.024e9, False)]
-    assert claim_values("up 5.2 percent") == [("5.2 percent", 5.2, True)]
-    assert claims.claims_of(None) == [] and claims.claims_of("") == []
-
-
-def test_negative_figures_in_every_form():
-    for text_ in ("-$42.0 billion", "$-42.0 billion", "−$42.0 billion", "$‐42.0 billion", "a loss of $42.0 billion", "negative $42.0 billion"):
-        assert [v for _, v, _ in claim_values(text_)] == [-42.0e9], text_
-    assert claim_values("(42.5)")[0][1] == -42.5
-    assert claim_values("(see $42.5 million")[0][1] == 42.5e6
-    assert claim_values("There was a loss. Revenue was $5 million")[0][1] == 5e6
+MEMOS = {
+    "In fiscal 2024 the 12 segments earned $6 and 3 regions": [("$6", 6.0, False)],
+    "$2,024 million": [("$2,024 million", 2.024e9, False)],
+    "up 5.2 percent": [("5.2 percent", 5.2, True)],
+    "": [],
+    "-$42.0 billion": [("-$42.0 billion", -42e9, False)],
+    "$-42.0 billion": [("$-42.0 billion", -42e9, False)],
+    "−$42.0 billion": [("−$42.0 billion", -42e9, False)],
+    "$‐42.0 billion": [("$‐42.0 billion", -42e9, False)],
+    "$‑42.0 billion": [("$‑42.0 billion", -42e9, False)],
+    "a loss of $42.0 billion": [("$42.0 billion", -42e9, False)],
+    "negative $42.0 billion": [("$42.0 billion", -42e9, False)],
+    "was $(42.0) billion": [("(42.0)", -42.0, False)],
+    "(42.5)": [("(42.5)", -42.5, False)],
+    "(see $42.5 million": [("$42.5 million", 42.5e6, False)],
+    "There was a loss. Revenue was $5 million": [("$5 million", 5e6, False)],
+    "Cash flow was negative. Revenue was 177.6 billion (see note 3).": [("177.6 billion", 177.6e9, False)],
+    "391.0M 12.55 billions 5bn US$391.0 billion 125x 391,035": [("12.55", 12.55, False), ("5bn", 5e9, False), ("391.0 billion", 391e9, False), ("391,035", 391035.0, False)],
+    "é5 naïve7 5é 1,2345 .5 a.77 7.5.": [("7.5", 7.5, False)],
+}
+
+
+def test_figures_signs_years_and_small_numbers(spark):
+    df = spark.createDataFrame([(t,) for t in MEMOS], "t string")
+    for r in df.withColumn("c", claims.claims(F.col("t"))).collect():
+        assert [(c.raw, c.value, c.is_percentage) for c in r.c] == MEMOS[r.t], r.t
+        assert all(r.t[c.start : c.end] == c.raw for c in r.c)
+    assert value(spark, claims.claims(F.lit(None).cast("string"))) is None
+
+
+def test_sentences_of_claims(spark):
+    text_ = "Heading\nRevenue was $391.0 billion in 3.5 years! Debt\nwas $5\nor so. End $7"
+    c = F.transform(claims.claims(F.col("t")), lambda x: claims.sentence_of(F.col("t"), x))
+    assert value(spark, c, t=text_) == ["Revenue was $391.0 billion in 3.5 years!"] * 2 + ["was $5\nor so.", "End $7"]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    long = "Total 391,035 and 5.5% " * 5000
+    found = value(spark, F.size(claims.claims(F.col("t"))), t=long)
+    assert found == 10_000
 
 
 def test_gate_strips_and_annotates(spark):
     memo = "Revenue was $391.0 billion. Debt was $77.7 billion. Margin rose 3.1%."
-    df = spark.createDataFrame([(1, memo), (2, None), (3, "No figures.\nNone at all")], "id int, text string").withColumn("verified", F.create_map(F.lit("revenue"), F.lit(391035000000.0)))
-    got = {r.id: r for r in claims.gate(df).withColumn("marked", claims.annotated(F.col("text"), F.col("claims"))).collect()}
-    assert got[1].shown == "Revenue was $391.0 billion. Margin rose 3.1%." and got[1].support_rate == 0.5
-    assert got[1].marked == "Revenue was $391.0 billion. Debt was $77.7 billion [UNVERIFIED]. Margin rose 3.1%."
+    counted = "Heading\n\nWe list 1,234.0 new risks.\nBut 9,999.0 went\naway. Fine."
+    df = spark.createDataFrame([(1, memo), (2, None), (3, "No figures.\nNone at all"), (4, counted)], "id int, text string").withColumn("verified", F.create_map(F.lit("revenue"), F.lit(391035000000.0)))
+    diff = F.struct(*[F.lit(x).cast("double").alias(n) for n, x in (("new", 1234), ("modified", None), ("unchanged", 2), ("removed", 0), ("drift_score", 0.5))])
+    got = {r.id: r for r in claims.gate(df.withColumn("diff", diff), diff="diff").collect()}
+    assert got[1].shown == "Revenue was $391.0 billion. Margin rose 3.1%." and got[1].support_rate == 0.5 and got[1].examples == ["$77.7 billion"]
+    assert got[1].annotated == "Revenue was $391.0 billion. Debt was $77.7 billion [UNVERIFIED]. Margin rose 3.1%."
     assert got[2].support_rate is None and got[2].shown is None and got[3].shown == "No figures.\nNone at all"
+    assert got[4].shown == "Heading\n\nWe list 1,234.0 new risks.\n Fine." and got[4].claims[0].metric == "diff_new"
+    bare = {r.id: r for r in claims.gate(df.withColumn("verified", F.lit(None).cast("map<string,double>"))).collect()}
+    assert bare[1].n_unsupported == 2
+
+
+def test_the_first_metric_of_the_map_wins(spark):
+    entries = claims.verifiable(F.create_map(F.lit("z"), F.lit(5.0), F.lit("a"), F.lit(5.0), F.lit("zero"), F.lit(0.0)))
+    assert value(spark, claims.supported(claims.claims(F.col("t")), entries), t="$5")[0].metric == "z"
 
 
 def test_replies(spark):
