@@ -9,14 +9,17 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
-from .text import SPACES
-
-#: Elements that break the line, and elements whose content is dropped. Fixed values.
-BLOCK_TAGS = frozenset(
-    "p div br tr li h1 h2 h3 h4 h5 h6 section article header footer table thead tbody hr blockquote dd dt figcaption".split()
-)
-DROP_TAGS = frozenset("script style noscript head meta link".split())
-VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
+from .text import SPACES, html_by_regex, words
+
+#: Elements that break the line. Fixed values.
+BLOCK_TAGS = frozenset((
+    "p", "div", "br", "tr", "li", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer",
+    "table", "thead", "tbody", "hr", "blockquote", "dd", "dt", "figcaption",
+))
+#: Elements whose content is dropped. Fixed values.
+DROP_TAGS = frozenset(("script", "style", "noscript", "head", "meta", "link"))
+#: Elements without content. Fixed values.
+VOID_TAGS = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 #: Cells that only pad a table. Fixed values.
 SPACER_CELLS = frozenset(("", "$", ")", "(", "%"))
 
@@ -103,27 +106,31 @@ def tidy(text: str) -> str:
 
 
 def read_html(page: str | None) -> dict | None:
-    """Text, number of tables, number of words and the parser that ran."""
+    """Text, number of tables and words, by the parser; without a text where the parser gives up."""
     if page is None:
         return None
-    reader, used = _Reader(), "dom"
+    reader = _Reader()
     try:
         reader.feed(page)
         reader.close()
-        text = reader.text()
     except (AssertionError, ValueError):
-        used = "regex"
-        text = re.sub(r"(?s)<[^>]+>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", page))
-    text = tidy(html.unescape(text))
-    return {"text": text, "n_tables": reader.n_tables if used == "dom" else 0, "n_words": len(text.split()), "parser_used": used}
+        return {"text": None, "n_tables": 0, "n_words": 0, "parser_used": "regex"}
+    text = tidy(html.unescape(reader.text()))
+    return {"text": text, "n_tables": reader.n_tables, "n_words": len(text.split()), "parser_used": "dom"}
 
 
 def html_text(page: Column) -> Column:
-    """Struct of text, n_tables, n_words, parser_used; null for a null page."""
+    """Struct of text, n_tables, n_words, parser_used; null for a null page. Pages that the parser refuses take html_by_regex."""
 
     @F.arrow_udf(RESULT)
     def convert(pages: pa.Array) -> pa.Array:
         kind = pa.struct([("text", pa.string()), ("n_tables", pa.int32()), ("n_words", pa.int32()), ("parser_used", pa.string())])
         return pa.array([read_html(x.as_py()) for x in pages], kind)
 
-    return convert(page)
+    def plain(read: Column) -> Column:
+        text = html_by_regex(page)
+        whole = F.struct(text.alias("text"), F.lit(0).alias("n_tables"), F.size(words(text)).alias("n_words"), F.lit("regex").alias("parser_used"))
+        return F.when(read["parser_used"] == "regex", whole).otherwise(read)
+
+    # one element, so that the parser runs once
+    return F.get(F.transform(F.array(convert(page)), plain), F.lit(0))

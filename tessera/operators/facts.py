@@ -58,18 +58,18 @@ def flat_facts(payloads: DataFrame) -> DataFrame:
     return rows.select("cik", "ticker", "tag", "unit_at", "unit", "fact_at", day(F.col("f.start")).alias("start"), F.col("f.start").isNull().alias("instant"), day(F.col("f.end")).alias("end"), F.col("f.val").alias("value"), F.col("f.accn").alias("accession"), F.col("f.fy").alias("fy"), F.col("f.fp").alias("fp"), F.col("f.form").alias("form"))
 
 
-def select_facts(facts: DataFrame, filings: DataFrame, chains: DataFrame) -> DataFrame:
+def select_facts(facts: DataFrame, filings: DataFrame, chains: DataFrame, form: str = "10-K", days: int = PERIOD_TOLERANCE_DAYS) -> DataFrame:
     """At most one fact a filing and metric; none rather than a guess.
 
     Of the facts of this filing whose end is near its period, a unit with durations
-    offers only its annual ones (those of a 10-K first), one without durations its first
+    offers only its annual ones (those of `form` first), one without durations its first
     instant. The first tag, then unit, that offers something wins.
     """
-    near = facts.join(filings.select("accession", "period_of_report"), "accession").where(is_close(F.col("end"), F.col("period_of_report")))
+    near = facts.join(filings.select("accession", "period_of_report"), "accession").where(is_close(F.col("end"), F.col("period_of_report"), days))
     chained = near.join(F.broadcast(chains), "tag")
     unit = Window.partitionBy("accession", "metric", "tag", "unit_at")
     offered = chained.withColumn("durations", F.max(~F.col("instant")).over(unit)).where(F.when(F.col("durations"), is_annual(F.col("start"), F.col("end"))).otherwise(F.col("instant")))
-    order = Window.partitionBy("accession", "metric").orderBy("tag_rank", "unit_at", F.when(F.col("durations") & (F.coalesce("form", F.lit("")) != "10-K"), 1).otherwise(0), "fact_at")
+    order = Window.partitionBy("accession", "metric").orderBy("tag_rank", "unit_at", F.when(F.col("durations") & (F.coalesce("form", F.lit("")) != form), 1).otherwise(0), "fact_at")
     best = offered.withColumn("place", F.row_number().over(order)).where("place = 1")
     return best.select("cik", "ticker", "accession", "metric", F.col("tag").alias("xbrl_tag"), "unit", "value", F.col("start").alias("period_start"), F.col("end").alias("period_end"), F.coalesce("fy", F.year("period_of_report")).cast("int").alias("fiscal_year"), F.col("fp").alias("fiscal_period"), F.col("instant").alias("is_instant"))
 

@@ -50,8 +50,39 @@ def disclosure_features(rows: DataFrame) -> DataFrame:
 
 
 def rejections(rows: DataFrame) -> DataFrame:
-    """reason, n."""
-    return rows.select(reject_reason(F.col("diff")).alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+    """reason, n; rows that a later one of their company-year replaces count as `duplicate`."""
+    reasons = rows.select("ticker", "fiscal_year", reject_reason(F.col("diff")).alias("reason"))
+    kept = reasons.where("reason IS NULL").groupBy("ticker", "fiscal_year").agg((F.count("*") - 1).alias("n"))
+    doubles = kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).where("n > 0").select(F.lit("duplicate").alias("reason"), "n")
+    return reasons.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")).unionByName(doubles)
+
+
+def with_filing_dates(rows: DataFrame, filings: DataFrame) -> DataFrame:
+    """rows with filing_date, period_of_report and reporting_lag_days, the days from the period's end to the filing."""
+    dates = filings.select("accession", F.to_date("filing_date").alias("filing_date"), F.to_date("period_of_report").alias("period_of_report"))
+    return rows.join(dates, "accession", "left").withColumn("reporting_lag_days", F.datediff("filing_date", "period_of_report"))
+
+
+def with_fundamentals(rows: DataFrame, facts: DataFrame, metrics: list[str]) -> DataFrame:
+    """rows with a column for every metric of their filing and the ratios; rows without facts stay, with nulls."""
+    return ratios(rows.join(wide_metrics(facts, "accession", metrics), "accession", "left"))
+
+
+def profile(store: DataFrame, target: str = "excess_return") -> DataFrame:
+    """One row on the store: rows, companies, years, median lag (days), and of the target its n, mean, median, deviation and positive share."""
+    x = F.col(target).cast("double")
+    x = F.when(~F.isnan(x), x)
+    half = F.lit(0.5)
+    return store.agg(
+        F.count("*").alias("n_rows"), F.countDistinct("ticker").alias("n_companies"), F.min("fiscal_year").alias("first_year"), F.max("fiscal_year").alias("last_year"),
+        F.percentile("reporting_lag_days", half).alias("median_lag"), F.count(x).alias("n_target"), F.avg(x).alias("mean"), F.percentile(x, half).alias("median"),
+        F.stddev_samp(x).alias("deviation"), F.avg((x > 0).cast("double")).alias("positive_share"),
+    )
+
+
+def rows_per_year(store: DataFrame) -> DataFrame:
+    """fiscal_year, n, with_target."""
+    return store.groupBy("fiscal_year").agg(F.count("*").alias("n"), F.count("excess_return").alias("with_target"))
 
 
 def wide_metrics(facts: DataFrame, key: str, metrics: list[str]) -> DataFrame:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.stats import average_rank
 
 ALPHA = 10.0
 MIN_TRAIN, MIN_TEST = 40, 5
 PERMUTATIONS = 200
-#: Tasks of a permutation test; each takes the frame once.
-TASKS = 16
-FOLD = "fold int, n_train int, n_test int, ic double, auc double, rmse double, baseline_rmse double, coefficients map<string,double>"
+#: Boosted models that are fitted side by side.
+FITS_AT_A_TIME = 4
 
 
 def prepared(frame: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -48,72 +49,148 @@ def fold_statistics(frame: DataFrame, year: str, feature: str) -> DataFrame:
     return train.groupBy("fold").agg(F.count("*").alias("n_train"), F.percentile("x", F.lit(0.5)).alias("median"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("deviation"))
 
 
-def _ranks(x: np.ndarray) -> np.ndarray:
-    return pd.Series(x).rank(method="average").to_numpy()
-
-
-def fit_fold(train: pd.DataFrame, test: pd.DataFrame, features: list[str], target: str, alpha: float = ALPHA) -> dict:
-    """One fold: medians and deviations of the training rows alone; a feature without any value there is left out."""
-    used = [f for f in features if train[f].notna().any()]
-    median = train[used].median()
-    x = train[used].fillna(median)
-    mean, deviation = x.mean(), x.std(ddof=1)
-    deviation = deviation.where(deviation > 0, 1.0).fillna(1.0)
-    a = ((x - mean) / deviation).to_numpy()
-    b = ((test[used].fillna(median) - mean) / deviation).to_numpy()
-    y, z = train[target].to_numpy(), test[target].to_numpy()
-    base, centre = y.mean(), a.mean(axis=0)
-    a = a - centre
-    weights = np.linalg.solve(a.T @ a + alpha * np.eye(len(used)), a.T @ (y - base)) if used else np.zeros(0)
-    predicted = base + (b - centre) @ weights
-    up, n = z > 0, len(z)
-    ic = float(np.corrcoef(_ranks(predicted), _ranks(z))[0, 1]) if n > 2 and len(np.unique(predicted)) > 1 and len(np.unique(z)) > 1 else None
-    auc = float((_ranks(predicted)[up].sum() - up.sum() * (up.sum() + 1) / 2) / (up.sum() * (~up).sum())) if 0 < up.sum() < n else None
-    return {"n_train": len(y), "n_test": n, "ic": ic, "auc": auc, "rmse": float(np.sqrt(np.mean((predicted - z) ** 2))), "baseline_rmse": float(np.sqrt(np.mean((base - z) ** 2))), "coefficients": dict(zip(used, map(float, weights)))}
-
-
-def folds_of(frame: pd.DataFrame, year: str, features: list[str], target: str, alpha: float, min_train: int) -> list[dict]:
-    frame = frame.sort_values([year, *[c for c in ("ticker",) if c in frame]], kind="stable")
-    out = []
-    for fold in sorted(frame[year].unique()):
-        train, test = frame[frame[year] < fold], frame[frame[year] == fold]
-        if len(train) >= min_train and len(test) >= MIN_TEST:
-            out.append({"fold": int(fold)} | fit_fold(train, test, features, target, alpha))
-    return out
+def _products(p: int) -> list[tuple[int, int]]:
+    """Pairs whose sums a fit needs: of 1, the p values (nulls as 0), the p marks of nulls, and the target."""
+    return [(i, j) for i in range(2 * p + 2) for j in range(i, 2 * p + 2)]
 
 
-def walk_forward(frame: DataFrame, features: list[str], target: str, year: str = "fiscal_year", alpha: float = ALPHA, min_train: int = MIN_TRAIN) -> DataFrame:
-    """One row a test year; every earlier year trains it. Each fold is a task of its own."""
-    rows = prepared(frame, features, target).select(year, *features, target)
-    folds = rows.select(F.col(year).alias("fold")).distinct()
-    spread = rows.join(F.broadcast(folds), F.col(year) <= F.col("fold"))
+class _Frame:
+    """A prepared frame, shifted and scaled as a whole for the sums' sake, with its sums of products by year.
 
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        train, test = own[own[year] < key[0]], own[own[year] == key[0]]
-        if len(train) < min_train or len(test) < MIN_TEST:
-            return pd.DataFrame(columns=[c.split()[0] for c in FOLD.split(", ")])
-        order = [year, *features, target]
-        return pd.DataFrame([{"fold": int(key[0])} | fit_fold(train.sort_values(order), test.sort_values(order), features, target, alpha)])
+    What a fold learns are sums over earlier years: with the medians m, a filled value is
+    value + m * mark, so means, deviations and the normal equations of the filled,
+    standardised features all come from the products of values and marks. One aggregate by
+    year gives them; no row is copied into a fold.
+    """
 
-    return spread.groupBy("fold").applyInPandas(run, FOLD)
+    def __init__(self, frame: DataFrame, features: list[str], target: str, year: str, min_train: int):
+        self.features, self.year, self.min_train = features, year, min_train
+        rows = prepared(frame, features, target)
+        marks = rows.agg(*[f(c).alias(f"{n}_{k}") for k, c in enumerate(features) for n, f in (("mean", F.avg), ("dev", F.stddev_samp))], *[F.max(F.col(c).isNull()).alias(f"null_{k}") for k, c in enumerate(features)]).first()
+        p = len(features)
+        self.shift = [marks[f"mean_{k}"] or 0.0 for k in range(p)]
+        self.scale = [marks[f"dev_{k}"] or 1.0 for k in range(p)]
+        self.holed = [k for k in range(p) if marks[f"null_{k}"]]
+        keys = [c for c in rows.columns if c not in features and c != target]
+        self.keys = keys
+        self.rows = rows.select(*keys, *[((F.col(c) - F.lit(self.shift[k])) / F.lit(self.scale[k])).alias(f"x{k}") for k, c in enumerate(features)], F.col(target).alias("y"))
+        self.values = [F.lit(1.0)] + [F.coalesce(f"x{k}", F.lit(0.0)) for k in range(p)] + [F.col(f"x{k}").isNull().cast("double") for k in range(p)]
+
+    def sums(self) -> dict[int, np.ndarray]:
+        """The symmetric matrix of sums of products by year."""
+        z = [*self.values, F.col("y")]
+        pairs = _products(len(self.features))
+        out = {}
+        for r in self.rows.groupBy(self.year).agg(*[F.sum(z[i] * z[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect():
+            m = np.zeros((len(z), len(z)))
+            for i, j in pairs:
+                m[i, j] = m[j, i] = r[f"s{i}_{j}"]
+            out[r[self.year]] = m
+        return out
+
+    def medians(self, folds: list[int]) -> dict[int, dict[int, float]]:
+        """The medians of earlier years by fold and feature, for the features that have nulls."""
+        out: dict[int, dict[int, float]] = {f: {} for f in folds}
+        if self.holed and folds:
+            every = F.array(*[F.lit(int(f)) for f in folds])
+            later = self.rows.select(F.explode(F.filter(every, lambda f: f > F.col(self.year))).alias("fold"), *[f"x{k}" for k in self.holed])
+            for r in later.groupBy("fold").agg(*[F.percentile(f"x{k}", F.lit(0.5)).alias(f"x{k}") for k in self.holed]).collect():
+                out[r["fold"]] = {k: r[f"x{k}"] for k in self.holed}
+        return out
+
+
+class _Fold:
+    """The solved normal equations of one fold."""
+
+    def __init__(self, total: np.ndarray, p: int, medians: dict[int, float], alpha: float):
+        n = total[0, 0]
+        # features without any value in the training years are left out
+        self.used = [k for k in range(p) if total[0, 1 + p + k] < n]
+        fill = np.array([medians.get(k) or 0.0 for k in range(p)])
+        mix = np.zeros((p, len(total)))
+        for k in range(p):
+            mix[k, 1 + k], mix[k, 1 + p + k] = 1.0, fill[k]
+        sums, squares = mix @ total[:, 0], mix @ total @ mix.T
+        self.mean = sums / n
+        spread = squares - np.outer(sums, sums) / n
+        variance = np.diag(spread) / max(1.0, n - 1)
+        self.deviation = np.sqrt(np.where(variance > 1e-20, variance, 1.0))
+        self.mix, self.fill, self.n, self.base = mix, fill, int(n), total[0, -1] / n
+        u = self.used
+        gram = (spread / np.outer(self.deviation, self.deviation))[np.ix_(u, u)]
+        self.inverse = np.linalg.inv(gram + alpha * np.eye(len(u))) if u else np.zeros((0, 0))
+
+    def solve(self, cross: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Intercept, slopes on the filled values, and the standardised weights. cross: sums of the products with the target."""
+        p = len(self.mean)
+        right = (self.mix @ cross - self.n * self.mean * self.base) / self.deviation
+        weights = np.zeros(p)
+        weights[self.used] = self.inverse @ right[self.used]
+        slopes = weights / self.deviation
+        return float(self.base - slopes @ self.mean), slopes, weights
+
+
+def _folds(frame: _Frame, alpha: float) -> tuple[dict[int, _Fold], dict[int, np.ndarray]]:
+    sums, p = frame.sums(), len(frame.features)
+    totals, running = {}, np.zeros((2 * p + 2, 2 * p + 2))
+    for y in sorted(sums):
+        totals[y] = running
+        running = running + sums[y]
+    kept = [y for y in sorted(sums) if totals[y][0, 0] >= frame.min_train and sums[y][0, 0] >= MIN_TEST]
+    medians = frame.medians(kept)
+    return {y: _Fold(totals[y], p, medians[y], alpha) for y in kept}, sums
+
+
+def _predicted(frame: _Frame, rows: DataFrame, models: DataFrame, *on: str) -> DataFrame:
+    """rows with `predicted`. models: on, c0 and for each feature a slope and the value that fills nulls."""
+    out = F.col("c0")
+    for k in range(len(frame.features)):
+        out = out + F.col(f"a{k}") * F.coalesce(F.col(f"x{k}"), F.col(f"m{k}"))
+    return rows.join(F.broadcast(models), list(on)).withColumn("predicted", out)
+
+
+def _model_row(fold: _Fold, solved) -> list[float]:
+    return [solved[0], *map(float, solved[1]), *map(float, fold.fill)]
+
+
+def walk_forward(frame: DataFrame, features: list[str], target: str, year: str = "fiscal_year", alpha: float = ALPHA, min_train: int = MIN_TRAIN) -> DataFrame:
+    """One row a test year; every earlier year trains it: fold, n_train, n_test, ic, auc, rmse, baseline_rmse, coefficients.
+
+    Training is one aggregate by year; only its sums (a matrix a year) and the fitted models
+    (a row a fold) pass through the driver. Testing is expressions and windows by fold.
+    """
+    spark, own = frame.sparkSession, _Frame(frame, features, target, year, min_train)
+    folds, sums = _folds(own, alpha)
+    p, rows = len(features), []
+    totals = np.zeros(2 * p + 2)
+    for y in sorted(sums):
+        if y in folds:
+            solved = folds[y].solve(totals)
+            rows.append((int(y), folds[y].n, float(folds[y].base), {features[k]: float(solved[2][k]) for k in folds[y].used}, *_model_row(folds[y], solved)))
+        totals = totals + sums[y][:, -1]
+    slots = "".join(f", {n}{k} double" for n in "am" for k in range(p))
+    models = spark.createDataFrame(rows, f"fold int, n_train int, base double, coefficients map<string,double>, c0 double{slots}")
+    tested = _predicted(own, own.rows.withColumn("fold", F.col(year).cast("int")), models, "fold").select("fold", "n_train", "base", "predicted", "y", (F.col("y") > 0).cast("int").alias("up"))
+    off = lambda x: F.sqrt(F.avg(F.pow(F.col(x) - F.col("y"), 2)))
+    errors = tested.groupBy("fold").agg(F.first("n_train").alias("n_train"), F.count("*").cast("int").alias("n_test"), off("predicted").alias("rmse"), off("base").alias("baseline_rmse"))
+    scores = spearman(tested, "predicted", "y", "fold").join(rank_auc(tested, "predicted", "up", "fold"), "fold")
+    out = errors.join(scores, "fold").join(F.broadcast(models.select("fold", "coefficients")), "fold")
+    return out.select("fold", "n_train", "n_test", "ic", "auc", "rmse", "baseline_rmse", "coefficients")
 
 
 def walk_forward_trees(frame: DataFrame, features: list[str], target: str, year: str = "fiscal_year", min_train: int = MIN_TRAIN, **settings) -> DataFrame:
     """The folds of walk_forward with gradient-boosted trees: fold, n_train, n_test, ic, rmse, baseline_rmse.
 
-    One model a test year (few, by the study), each fitted by the cluster; medians are
-    those of the training rows.
+    One model a test year (few, by the study), each fitted by the cluster, some folds at a
+    time; medians are those of the training rows.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     rows = prepared(frame, features, target).select(year, *features, target)
     sizes = {r[0]: r[1] for r in rows.groupBy(year).count().orderBy(year).collect()}
-    out = None
-    for fold, n_test in sizes.items():
-        n_train = sum(n for y, n in sizes.items() if y < fold)
-        if n_train < min_train or n_test < MIN_TEST:
-            continue
+
+    def fitted(fold: int, n_train: int) -> DataFrame:
         train, test = rows.where(F.col(year) < fold), rows.where(F.col(year) == fold)
         row = train.agg(*[F.percentile(f, F.lit(0.5)).alias(f) for f in features], F.avg(target).alias("base")).first()
         medians = {f: row[f] for f in features if row[f] is not None}
@@ -121,47 +198,74 @@ def walk_forward_trees(frame: DataFrame, features: list[str], target: str, year:
         model = GBTRegressor(featuresCol="x", labelCol=target, seed=7, **({"maxIter": 20, "maxDepth": 3} | settings)).fit(assembler.transform(train.na.fill(medians)))
         scored = model.transform(assembler.transform(test.na.fill(medians))).select(F.lit(fold).alias("fold"), "prediction", target)
         errors = scored.groupBy("fold").agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col(target), 2))).alias("rmse"), F.sqrt(F.avg(F.pow(F.lit(row["base"]) - F.col(target), 2))).alias("baseline_rmse"))
-        own = errors.join(spearman(scored, "prediction", target, "fold"), "fold").select("fold", F.lit(n_train).alias("n_train"), F.lit(n_test).alias("n_test"), "ic", "rmse", "baseline_rmse")
-        out = own if out is None else out.unionByName(own)
-    return out if out is not None else frame.sparkSession.createDataFrame([], "fold int, n_train int, n_test int, ic double, rmse double, baseline_rmse double")
+        return errors.join(spearman(scored, "prediction", target, "fold"), "fold").select("fold", F.lit(n_train).alias("n_train"), F.lit(sizes[fold]).alias("n_test"), "ic", "rmse", "baseline_rmse")
+
+    before = {fold: sum(n for y, n in sizes.items() if y < fold) for fold in sizes}
+    wanted = [f for f in sizes if before[f] >= min_train and sizes[f] >= MIN_TEST]
+    with ThreadPoolExecutor(FITS_AT_A_TIME) as pool:
+        parts = list(pool.map(inheritable_thread_target(frame.sparkSession)(lambda f: fitted(f, before[f])), wanted))
+    if not parts:
+        return frame.sparkSession.createDataFrame([], "fold int, n_train int, n_test int, ic double, rmse double, baseline_rmse double")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def summary(folds: DataFrame) -> DataFrame:
+    """n_folds, mean_ic, std_ic (population), mean_auc, rmse_gain; no row without folds."""
     gain = 1 - F.try_divide("rmse", "baseline_rmse")
     out = folds.agg(F.count("*").alias("n_folds"), F.round(F.avg("ic"), 4).alias("mean_ic"), F.round(F.stddev_pop("ic"), 4).alias("std_ic"), F.round(F.avg("auc"), 4).alias("mean_auc"), F.round(F.avg(gain), 4).alias("rmse_gain"))
     return out.where("n_folds > 0")
 
 
-def permutation_test(frame: DataFrame, features: list[str], target: str, year: str = "fiscal_year", permutations: int = PERMUTATIONS, seed: int = 7, alpha: float = ALPHA, min_train: int = MIN_TRAIN) -> DataFrame:
+def shuffled_targets(rows: DataFrame, year: str, key: str, permutations: int, seed: int) -> DataFrame:
+    """rows once for each permutation, with `permutation` and the target `z` and its rank `rz` of another row of the year.
+
+    Permutation 0 is the identity. A row at place k of its year, by key, takes the target of
+    the row whose MD5 of seed, permutation, year and place is the k-th of the year.
+    """
+    place = F.row_number().over(Window.partitionBy(year).orderBy(key))
+    base = rows.withColumn("place", place).withColumn("ry", average_rank("y", year))
+    every = base.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), "permutation", F.col(year).cast("string"), "place"))
+    order = F.when(F.col("permutation") > 0, draw).otherwise(F.lit(""))
+    drawn = every.withColumn("given", F.row_number().over(Window.partitionBy("permutation", year).orderBy(order, "place")))
+    targets = base.select(year, F.col("place").alias("given"), F.col("y").alias("z"), F.col("ry").alias("rz"))
+    return drawn.drop("place", "y", "ry").join(targets, [year, "given"]).drop("given")
+
+
+def permutation_test(frame: DataFrame, features: list[str], target: str, year: str = "fiscal_year", key: str = "ticker", permutations: int = PERMUTATIONS, seed: int = 7, alpha: float = ALPHA, min_train: int = MIN_TRAIN) -> DataFrame:
     """observed, p, null_mean, null_std, null_p95, n: mean IC against targets shuffled within each year.
 
-    Permutation 0 is the identity. The shuffles are numbered and dealt to TASKS tasks;
-    each takes the (bounded by the study) frame once, as one row of arrays.
+    Shuffling changes the products with the target alone, so each fold's equations are
+    solved once for all permutations; the sums by permutation and year are one aggregate,
+    and the ranks of the predictions a window by permutation and fold. key: orders a year's rows.
     """
-    rows = prepared(frame, features, target)
-    columns = [year, *features, target]
-    packed = rows.select(*columns).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
-    tasks = packed.select("rows", F.explode(F.sequence(F.lit(0), F.lit(min(permutations, TASKS - 1)))).alias("task")).repartition(TASKS, "task")
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for task, own in zip(batch["task"], batch["rows"]):
-                frame = pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in own], columns=columns)
-                for number in range(int(task), permutations + 1, TASKS):
-                    data = frame.copy()
-                    if number:
-                        rng = np.random.default_rng([seed, number])
-                        data[target] = data.groupby(year)[target].transform(lambda y: rng.permutation(y.to_numpy()))
-                    ics = [f["ic"] for f in folds_of(data, year, features, target, alpha, min_train) if f["ic"] is not None]
-                    out.append((number, float(np.mean(ics)) if ics else None))
-            yield pd.DataFrame(out, columns=["permutation", "ic"])
-
-    ics = tasks.mapInPandas(run, "permutation int, ic double")
-    own = ics.agg(F.max(F.when(F.col("permutation") == 0, F.col("ic"))).alias("observed"), F.array_sort(F.collect_list(F.when(F.col("permutation") > 0, F.col("ic")))).alias("null"))
+    spark, own = frame.sparkSession, _Frame(frame, features, target, year, min_train)
+    folds, _ = _folds(own, alpha)
+    p = len(features)
+    rows = shuffled_targets(own.rows, year, key, permutations, seed)
+    cross = rows.groupBy("permutation", year).agg(*[F.sum(v * F.col("z")).alias(f"s{k}") for k, v in enumerate(own.values)])
+    sums: dict[int, dict[int, np.ndarray]] = {}
+    for r in cross.collect():  # a row of 2 p + 1 sums for each permutation and year
+        sums.setdefault(r["permutation"], {})[r[year]] = np.array([*[r[f"s{k}"] for k in range(2 * p + 1)], 0.0])
+    models = []
+    for number, by_year in sums.items():
+        total = np.zeros(2 * p + 2)
+        for y in sorted(by_year):
+            if y in folds:
+                models.append((int(number), int(y), *_model_row(folds[y], folds[y].solve(total))))
+            total = total + by_year[y]
+    slots = "".join(f", {n}{k} double" for n in "am" for k in range(p))
+    fitted = spark.createDataFrame(models, f"permutation int, fold int, c0 double{slots}")
+    tested = _predicted(own, rows.withColumn("fold", F.col(year).cast("int")), fitted, "permutation", "fold").select("permutation", "fold", "predicted", "rz")
+    ranked = tested.withColumn("rp", average_rank("predicted", "permutation", "fold"))
+    some = (F.count("*") > 2) & (F.stddev_pop("rp") > 0) & (F.stddev_pop("rz") > 0)
+    ics = ranked.groupBy("permutation", "fold").agg(F.when(some, F.corr("rp", "rz")).alias("ic")).groupBy("permutation").agg(F.avg("ic").alias("ic")).where("ic IS NOT NULL")
+    out = ics.agg(F.max(F.when(F.col("permutation") == 0, F.col("ic"))).alias("observed"), F.array_sort(F.collect_list(F.when(F.col("permutation") > 0, F.col("ic")))).alias("null"))
     n = F.size("null")
     beyond = F.size(F.filter("null", lambda x: F.abs(x) >= F.abs(F.col("observed"))))
     mean = F.aggregate("null", F.lit(0.0), lambda s, x: s + x) / n
     square = F.aggregate("null", F.lit(0.0), lambda s, x: s + x * x) / n
-    return own.where(n > 0).select("observed", ((beyond + 1) / (n + 1)).alias("p"), mean.alias("null_mean"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("null_std"), F.get("null", F.floor(n * 0.95).cast("int")).alias("null_p95"), n.alias("n"))
-
+    return out.where(n > 0).select("observed", ((beyond + 1) / (n + 1)).alias("p"), mean.alias("null_mean"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("null_std"), F.get("null", F.floor(n * 0.95).cast("int")).alias("null_p95"), n.alias("n"))

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.stats import hash_number
-from ..functions.text import tokens
+from ..functions.stats import hash_number, order_statistics
+from ..functions.text import tokens, value_variants
+from ..sources.shared import new_folder, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 CUTOFFS = (1, 3, 5, 10)
+OVERSIZED_LABELS = 40
 MODES = ("dense", "sparse", "hybrid", "rerank")
 #: Bytes of query vectors sent to the executors at a time.
 QUERY_BYTES = 16 << 20
@@ -40,29 +41,21 @@ class LexicalIndex:
     scale: DataFrame
 
 
-def _counted(own: Column) -> Column:
-    """Terms of a token array with their numbers."""
+def term_counts(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """id, length, counts (array of term, tf by term): a document's tokens are sorted in its row and their runs measured."""
+    own = docs.select(F.col(id_).alias("id"), F.sort_array(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))).alias("own"))
+    n, own_ = F.size("own"), F.col("own")
+    starts = F.filter(F.sequence(F.lit(1), n), lambda k: (k == 1) | (F.get(own_, k - 1) != F.get(own_, k - 2)))
+    found = own.select("id", n.alias("length"), "own", F.when(n > 0, starts).otherwise(F.array().cast("array<int>")).alias("starts"))
+    at = F.col("starts")
+    runs = F.transform(at, lambda k, i: F.struct(F.get(own_, k - 1).alias("term"), (F.coalesce(F.get(at, i + 1), F.col("length") + 1) - k).alias("tf")))
+    return found.select("id", "length", runs.alias("counts"))
 
-    @F.arrow_udf("array<struct<term:string,tf:int>>")
-    def count(tokens_: pa.Array) -> pa.Array:
-        ends, terms, numbers = [0], [], []
-        for row in tokens_.to_pylist():
-            own_ = Counter(row or ())
-            terms += own_.keys()
-            numbers += own_.values()
-            ends.append(len(terms))
-        pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(numbers, pa.int32())], ["term", "tf"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
 
-    return count(own)
-
-
-def lexical_index(docs: DataFrame, id_: str, text: str) -> LexicalIndex:
-    """BM25 tables of the (prefixed) text. A document's terms are counted where its row is; only sums by term are shuffled."""
-    own = tokens(F.col(text))
-    postings = docs.select(F.col(id_).alias("id"), F.coalesce(F.size(own), F.lit(0)).alias("length"), _counted(own).alias("counts"))
-    scale = docs.select(F.coalesce(F.size(own), F.lit(0)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    df = docs.select(F.explode(F.array_distinct(own)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def lexical_index(postings: DataFrame) -> LexicalIndex:
+    """BM25 tables of term counts. Only sums by term are shuffled; read the counts from a table, as they are used three times."""
+    scale = postings.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    df = postings.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(scale)).select("term", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     terms = raw.join(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
@@ -78,7 +71,8 @@ def lexical_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     found = index.postings.select("id", "length", F.inline("counts")).join(weighted, "term").join(F.broadcast(index.scale))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     part = F.col("asked") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    scored = found.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    # sums in another order may differ in the last digits
+    scored = found.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
     return scored.where(F.col("score") > 0)
 
 
@@ -96,23 +90,28 @@ def lexical_search(index: LexicalIndex, queries: DataFrame, k: int, filtered: Da
     return top_k(scored, k)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int, same: tuple[str, ...] = ()) -> DataFrame:
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int, same: tuple[str, ...] = (), query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, id, score, rank by exact cosine. queries: query_id, vector; vectors: id, vector; both with the `same` columns.
 
-    Query vectors go to the executors in slices of QUERY_BYTES. Each batch of vectors is
-    multiplied with the slice and sends on k rows a query at most. Null and zero
-    vectors are never found.
+    Query vectors go to the executors in slices of query_bytes. Each batch of vectors is
+    multiplied with the slice and sends on k rows a query at most. Beyond one slice each
+    slice's finds are stored before the next is sent, so one is held at a time. Null and
+    zero vectors are never found.
     """
+    spark = vectors.sparkSession
     queries = queries.where(F.exists("vector", lambda x: x != 0))
-    size, n = queries.agg(F.coalesce(F.sum(F.size("vector") * 8), F.lit(0)), F.count("*")).first()
-    slices = max(1, math.ceil(size / QUERY_BYTES))
+    size = queries.agg(F.coalesce(F.sum(F.size("vector") * 8), F.lit(0))).first()[0]
+    slices = max(1, math.ceil(size / query_bytes))
     id_kind, query_kind = (df.schema[c].dataType.simpleString() for df, c in ((vectors, "id"), (queries, "query_id")))
     part = F.pmod(F.xxhash64("query_id"), F.lit(slices))
-    source = vectors.select("id", "vector", *same).where(F.exists("vector", lambda x: x != 0))
-    found = None
+    source = spread(vectors.select("id", "vector", *same).where(F.exists("vector", lambda x: x != 0)))
+    folder, found = new_folder(spark, "dense"), None
     for piece in range(slices):
-        asked = queries.select("query_id", "vector", *same).where(part == piece).orderBy("query_id").collect() if n else []
+        asked = queries.select("query_id", "vector", *same).where(part == piece).orderBy("query_id").collect()
         near = source.mapInArrow(_nearest(asked, k, same), f"query_id {query_kind}, id {id_kind}, score double")
+        if slices > 1:
+            top_k(near, k).drop("rank").write.parquet(f"{folder}/{piece}")
+            near = spark.read.schema(near.schema).parquet(f"{folder}/{piece}")
         found = near if found is None else found.unionByName(near)
     return top_k(found, k)
 
@@ -121,18 +120,20 @@ def _nearest(asked, k: int, same: tuple[str, ...]):
     unit = np.array([row["vector"] for row in asked], np.float64)
     unit = unit / np.linalg.norm(unit, axis=1, keepdims=True) if len(asked) else unit
     names = [row["query_id"] for row in asked]
-    groups = [tuple(row[c] for c in same) for row in asked]
+    codes: dict[tuple, int] = {}
+    groups = np.array([codes.setdefault(tuple(row[c] for c in same), len(codes)) for row in asked], np.int64)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows or not names:
                 continue
             ids = np.array(batch.column(0).to_pylist(), object)
-            rows = np.array(batch.column(1).to_pylist(), np.float64)
-            scores = unit @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            # a product's last digits may hang on its place in the batch
+            scores = np.round(unit @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T, 12)
             if same:
-                own = list(zip(*(batch.column(2 + c).to_pylist() for c in range(len(same)))))
-                scores = np.where([[g == o for o in own] for g in groups], scores, -np.inf)
+                own = np.array([codes.get(x, -1) for x in zip(*(batch.column(2 + c).to_pylist() for c in range(len(same))))], np.int64)
+                scores = np.where(groups[:, None] == own[None, :], scores, -np.inf)
             order = np.argsort(ids, kind="stable")
             scores, ids = scores[:, order], ids[order]
             best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
@@ -227,20 +228,58 @@ def evaluate(scores: DataFrame, *by: str, ks: tuple[int, ...] = CUTOFFS) -> Data
     return means.select(*by, "n_queries", "mrr", F.inline(rows))
 
 
+def evaluate_strata(scores: DataFrame, kind: str, ks: tuple[int, ...] = CUTOFFS) -> DataFrame:
+    """evaluate() for all queries (ALL) and for each kind, from one pass of grouping sets."""
+    columns = ["rr", *[f"{m}_{k}" for m in ("recall", "hit", "ndcg") for k in ks]]
+    own = scores.rollup(kind).agg(F.grouping(kind).alias("_all"), F.count("*").alias("n_queries"), F.avg("rr").alias("mrr"), *[F.avg(c).alias(c) for c in columns[1:]])
+    named = own.where("n_queries > 0").withColumn(kind, F.when(F.col("_all") == 1, "ALL").otherwise(F.coalesce(F.col(kind).cast("string"), F.lit("?"))))
+    return named.select(kind, "n_queries", "mrr", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"{m}_{k}").alias(m) for m in ("recall", "hit", "ndcg")]) for k in ks])))
+
+
+def label_sizes(qrels: DataFrame, *by: str, oversized: int = OVERSIZED_LABELS, k: int = 5) -> DataFrame:
+    """by, n, least, median (upper), most, n_oversized and recall_ceiling: what recall at k can reach at the median size."""
+    sizes = qrels.select(*by, "query_id", "id").distinct().groupBy(*by, "query_id").agg(F.count("*").alias("size"))
+    own = sizes.groupBy(*by).agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.count_if(F.col("size") > oversized).alias("n_oversized"))
+    mid = order_statistics(sizes, "size", {"median": 0.5}, *by)
+    out = own.join(mid, list(by)) if by else own.join(F.broadcast(mid))
+    return out.withColumn("recall_ceiling", F.least(F.lit(1.0), F.lit(float(k)) / F.col("median")))
+
+
+def oversized_labels(qrels: DataFrame, threshold: int = OVERSIZED_LABELS, k: int = 5) -> DataFrame:
+    """query_id, n, ceiling of recall at k: queries with so many labels that they measure the labels; the largest first."""
+    own = qrels.select("query_id", "id").distinct().groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") > threshold)
+    return own.withColumn("ceiling", F.lit(float(k)) / F.col("n")).orderBy(F.desc("n"), "query_id")
+
+
+def numeric_labels(facts: DataFrame, chunks: DataFrame, per_filing: int = 4) -> DataFrame:
+    """query_id, accession, metric, value, id: chunks of the filing that print the figure in one of its ways.
+
+    facts: accession, ticker, fiscal_year, metric, value; chunks: accession, id, text. A
+    metric that no chunk prints asks nothing; of the others the first by name stay.
+    """
+    forms = facts.withColumn("forms", value_variants(F.col("value"), F.startswith("metric", F.lit("eps"))))
+    hits = forms.join(chunks.select("accession", "id", "text"), "accession").where(F.exists("forms", lambda v: F.contains(F.col("text"), v)))
+    place = F.dense_rank().over(Window.partitionBy("accession").orderBy("metric"))
+    kept = hits.withColumn("place", place).where(F.col("place") <= per_filing)
+    name = F.concat_ws("_", F.lit("num"), "ticker", F.col("fiscal_year").cast("string"), "metric")
+    return kept.select(name.alias("query_id"), "accession", "metric", "value", "id")
+
+
 def bootstrap(scores: DataFrame, value: str, resamples: int = 2000, alpha: float = 0.05, seed: int = 7) -> DataFrame:
-    """n, mean, low, high: percentile interval of the mean of `value`. scores: position (from 0) and value.
+    """n, mean, low, high: percentile interval of the mean of `value`. scores: position (from 0) and value; also means, all sorted.
 
-    The resamples are spread over the cluster; each draws n positions by hash, and the
-    scores, one a query, are a column of every resample.
+    A resample draws n positions by hash; draws meet their scores in a join and are summed
+    by resample, so that no list of scores is ever copied.
     """
-    own = scores.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", value))), lambda x: x[value]).alias("v"))
-    draws = own.select("v", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    n = F.size("v")
-    mean = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("v"), F.pmod(hash_number(F.lit(seed), F.col("b"), i), n).cast("int"))), F.lit(0.0), lambda s, x: s + x) / n
-    means = draws.where(n > 0).repartition(16).select("v", mean.alias("m"))
-    out = means.groupBy("v").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    own = scores.select(F.col("position").cast("long").alias("position"), F.col(value).cast("double").alias("x"))
+    whole = own.agg(F.count("*").alias("n"), F.avg("x").alias("mean")).where("n > 0")
+    numbers = scores.sparkSession.range(resamples).select(F.col("id").cast("int").alias("b")).join(F.broadcast(whole))
+    draws = numbers.select("b", "n", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
+    drawn = draws.select("b", F.pmod(hash_number(F.lit(seed), F.col("b"), F.col("i")), F.col("n")).alias("position"))
+    means = drawn.join(own, "position").groupBy("b").agg(F.avg("x").alias("m"))
+    out = means.agg(F.array_sort(F.collect_list("m")).alias("means")).join(F.broadcast(whole))
     low, high = int(alpha / 2 * resamples), int((1 - alpha / 2) * resamples) - 1
-    return out.select(F.size("v").alias("n"), (F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")).alias("mean"), F.get("m", F.lit(low)).alias("low"), F.get("m", F.lit(high)).alias("high"), F.col("m").alias("means"))
+    return out.select(F.col("n").cast("int").alias("n"), "mean", F.get("means", F.lit(low)).alias("low"), F.get("means", F.lit(high)).alias("high"), "means")
 
 
 def paired_bootstrap(a: DataFrame, b: DataFrame, value: str, resamples: int = 2000, seed: int = 7) -> DataFrame:

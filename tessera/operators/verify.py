@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.stats import upper_median
+from ..functions.stats import order_statistics
 
 SCALES = {"units": 1.0, "thousands": 1e3, "millions": 1e6, "billions": 1e9}
 BANDS = (("exact", 0.0), ("within_0.5pct", 0.005), ("within_2pct", 0.02))
@@ -65,9 +65,24 @@ def summarise(verdicts: DataFrame, *by: str) -> DataFrame:
     for name, _ in BANDS:
         reached = reached | (F.col("outcome") == name)
         cols.append((F.count_if(reached) / F.greatest(n, F.lit(1))).alias(f"share_{name.replace('.', '_')}"))
-    errors = F.collect_list(F.when(scored & (F.col("error") < float("inf")), F.col("error")))
     counts = [F.count_if(F.col("outcome") == o).alias(o) for o in ("errored", "abstained", "no_ground_truth", "wrong_period", "wrong")]
-    return verdicts.groupBy(*by).agg(F.count("*").alias("total"), n.alias("scorable"), *cols, *counts, upper_median(errors).alias("median_error"))
+    own = verdicts.groupBy(*by).agg(F.count("*").alias("total"), n.alias("scorable"), *cols, *counts)
+    finite = verdicts.where(scored & (F.col("error") < float("inf")))
+    return own.join(order_statistics(finite, "error", {"median_error": 0.5}, *by), list(by), "left") if by else own.join(F.broadcast(order_statistics(finite, "error", {"median_error": 0.5})), how="left")
+
+
+def cross_tab(verdicts: DataFrame, *by: str) -> DataFrame:
+    """by, n, correct, scored, wrong, abstained, no_ground_truth, accuracy over what could be scored (null if nothing could)."""
+    right = F.count_if(F.col("outcome").isin(*[name for name, _ in BANDS]))
+    wrong = F.count_if(F.col("outcome") == "wrong")
+    counts = [F.count_if(F.col("outcome") == o).alias(o) for o in ("abstained", "no_ground_truth")]
+    own = verdicts.groupBy(*by).agg(F.count("*").alias("n"), right.alias("correct"), (right + wrong).alias("scored"), wrong.alias("wrong"), *counts)
+    return own.withColumn("accuracy", F.try_divide("correct", "scored"))
+
+
+def error_histogram(verdicts: DataFrame) -> DataFrame:
+    """error_type, n of the wrong figures, the most frequent first."""
+    return verdicts.where(F.col("error_type").isNotNull()).groupBy("error_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error_type")
 
 
 def diagnosis(accuracy: Column, ceiling: Column) -> Column:

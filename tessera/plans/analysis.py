@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions.stats import hash_number, index_percentile, upper_median
+from ..functions.stats import hash_number, order_statistics
+from ..functions.text import tokens
 from ..operators import claims as cl
 from ..operators import chunks as ch
 from ..operators import drift as dr
@@ -20,7 +21,11 @@ from ..operators import retrieval as re_
 from ..operators import sections as se
 from ..operators import surfaces as su
 from ..operators import verify as ve
+from ..sources import filings as src
+from ..sources.shared import spread, stored
 from .registry import query, table
+from .study_sql import FRAME_SQL, PERMUTATION_SQL, RIDGE_SQL
+from .text_sql import CHUNKS_SQL, CLAIMS_SQL, GATE_SQL, SECTIONS_SQL
 
 BM25_SQL = """
 docs AS (SELECT doc_id AS id, lang, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9.,%$-]*') AS own FROM documents),
@@ -46,33 +51,65 @@ def _questions(spark, d):
 
 
 def _index(spark, d):
-    return re_.lexical_index(table(spark, d, "documents"), "doc_id", "text")
+    """The stored index of the documents: written once a session, read by every query that searches it."""
 
+    def write(folder):
+        docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+        re_.term_counts(docs, "doc_id", "text").write.mode("overwrite").parquet(f"{folder}/counts")
+        src.write_lexical_index(re_.lexical_index(spark.read.parquet(f"{folder}/counts")), folder)
+
+    return src.read_lexical_index(spark, stored(spark, "lexical", f"{d}/documents.parquet", write))
+
+
+def _vectors(spark, d):
+    """The stored vectors of the documents by the stand-in encoder: id, vector."""
+
+    def write(folder):
+        docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+        src.write_vector_index(docs.select(F.col("doc_id").alias("id"), su.encoded(F.col("text"), su.shape_encoder()).alias("vector")), folder)
+
+    return src.read_vector_index(spark, stored(spark, "vectors", f"{d}/documents.parquet", write))
 
-def _qrels(spark, d):
-    """Item and document pairs by containment: anchored on the item's longest inner token, so that no pair is tried without a shared word."""
-    from ..functions.text import tokens
 
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("wanted"), F.array_sort(F.slice(tokens(F.col("text")), 2, F.greatest(F.lit(1), F.size(tokens(F.col("text"))) - 2)), lambda a, b: F.length(b) - F.length(a)).alias("own"))
-    keyed = items.select("query_id", "wanted", F.get("own", F.lit(0)).alias("anchor"))
-    anchors = keyed.agg(F.collect_set("anchor").alias("anchors"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "text", tokens(F.col("text")).alias("own")).join(F.broadcast(anchors))
-    near = docs.select("id", "lang", "text", F.explode(F.array_intersect("own", "anchors")).alias("anchor"))
-    # first and last tokens may go on in the document and are no anchors
-    return near.join(F.broadcast(keyed), "anchor").where(F.contains(F.col("text"), F.col("wanted"))).select("query_id", "id", "lang")
+#: Rows up to which labels' anchors are broadcast to the documents; more are joined by shuffle.
+BROADCAST_ITEMS = 50_000
+
+
+def _qrels(spark, d):
+    """Item and document pairs by containment.
+
+    An item's anchor is its longest token that neither begins nor ends it: such a token
+    stands whole in any text that holds the item, so the index's terms lead to the documents
+    by a join on it. An item of up to two tokens has no such token (its own may run on in a
+    document) and is sought in every text, a slice of items against all rows.
+    """
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("wanted"), tokens(F.col("text")).alias("own"))
+    inner = F.when(F.size("own") > 2, F.slice("own", F.lit(2), F.greatest(F.size("own") - 2, F.lit(1))))
+    longest = F.get(F.array_sort(F.transform(inner, lambda t: F.struct((-F.length(t)).alias("size"), t.alias("t")))), F.lit(0))["t"]
+    keyed = items.select("query_id", "wanted", longest.alias("anchor"))
+    anchored, bare = keyed.where("anchor IS NOT NULL"), keyed.where("anchor IS NULL").drop("anchor")
+    small = keyed.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
+    index = _index(spark, d)
+    terms = index.postings.select("id", F.explode("counts.term").alias("anchor"))
+    near = terms.join(F.broadcast(anchored) if small else anchored, "anchor").select("query_id", "wanted", "id")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    found = docs.join(near, "id").where(F.contains(F.col("text"), F.col("wanted"))).select("query_id", "id", "lang")
+    if not bare.isEmpty():
+        found = found.unionByName(docs.join(F.broadcast(bare) if small else bare, F.contains(F.col("text"), F.col("wanted"))).select("query_id", "id", "lang"))
+    return found
 
 
 @query("WITH " + BM25_SQL + """ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored)
 SELECT query_id AS item_id, rank::INTEGER AS rank, id AS doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10""")
 def bm25_topk(spark, d):
-    scored = re_.lexical_scores(_index(spark, d), _questions(spark, d)).withColumn("score", F.round("score", 9))
+    scored = re_.lexical_scores(_index(spark, d), _questions(spark, d))
     return re_.top_k(scored, 10).select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("WITH " + BM25_SQL + QRELS_SQL + "ranked AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored) WHERE rank <= 50)," + METRICS_SQL + """
 SELECT k::INTEGER AS k, count(*) AS n_queries, round(avg(rr), 6) AS mrr, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit, round(avg(ndcg), 6) AS ndcg FROM scores GROUP BY k""")
 def bm25_ir_metrics(spark, d):
-    scored = re_.lexical_scores(_index(spark, d), _questions(spark, d)).withColumn("score", F.round("score", 9))
+    scored = re_.lexical_scores(_index(spark, d), _questions(spark, d))
     out = re_.evaluate(re_.query_scores(re_.top_k(scored, 50), _qrels(spark, d)))
     return out.select("k", "n_queries", *[F.round(c, 6).alias(c) for c in ("mrr", "recall", "hit", "ndcg")])
 
@@ -85,7 +122,7 @@ per AS (SELECT r.routed, q.query_id, coalesce(1.0 / min(rank), 0) AS rr, coalesc
 SELECT routed, round(avg(rr), 6) AS mrr, round(avg(hit), 6) AS hit5 FROM per GROUP BY routed""")
 def bm25_routed_vs_unrouted(spark, d):
     qrels = _qrels(spark, d)
-    scored = re_.lexical_scores(_index(spark, d), _questions(spark, d)).withColumn("score", F.round("score", 9))
+    scored = re_.lexical_scores(_index(spark, d), _questions(spark, d))
     langs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
     # a routed query keeps documents in the language of its relevant ones
     routed = scored.join(langs, "id").join(qrels.select("query_id", "lang").distinct(), ["query_id", "lang"], "left_semi")
@@ -115,28 +152,36 @@ def dense_topk_filtered(spark, d):
     return re_.top_k(found, 5).join(v.select("id", "label"), "id").select("query_id", F.col("id").alias("vec_id"), "label", F.round("score", 6).alias("sim"))
 
 
-@query("WITH " + BM25_SQL + """a AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored) WHERE rank <= 50),
-b AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY length, id) AS rank FROM scored JOIN (SELECT id, len(own) AS length FROM docs) USING (id)) WHERE rank <= 50),
-lists AS (SELECT query_id, id, rank, 0 AS list_no FROM a UNION ALL SELECT query_id, id, rank, 1 FROM b),
-fused AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 12) AS score, min((list_no, rank)) AS seen FROM lists GROUP BY ALL)
-SELECT query_id, rank::INTEGER AS rank, id AS doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, id) AS rank FROM fused) WHERE rank <= 10""")
+HYBRID_SQL = """shapes AS (SELECT query_id, id, list_transform(range(64), lambda k: len(list_filter(places, lambda p: p = k)))::DOUBLE[] AS v FROM (
+    SELECT item_id AS query_id, NULL AS id, list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9.,%$-]*'), lambda t: (31 * ascii(t) + 7 * ascii(t[-1]) + length(t)) % 64) AS places FROM benchmark
+    UNION ALL SELECT NULL, doc_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9.,%$-]*'), lambda t: (31 * ascii(t) + 7 * ascii(t[-1]) + length(t)) % 64) FROM documents)),
+near AS (SELECT q.query_id, d.id, round(list_cosine_similarity(q.v, d.v), 12) AS score FROM shapes q, shapes d WHERE q.query_id IS NOT NULL AND d.id IS NOT NULL AND list_sum(q.v) > 0 AND list_sum(d.v) > 0),
+lists AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, 0 AS list_no FROM near
+    UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id), 1 FROM scored) WHERE rank <= 50),
+sums AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 12) AS score, min((list_no, rank)) AS seen FROM lists GROUP BY ALL),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, id) AS rank FROM sums)"""
+
+
+def _encoded_questions(spark, d):
+    return _questions(spark, d).withColumn("vector", su.encoded(F.col("question"), su.shape_encoder()))
+
+
+@query("WITH " + BM25_SQL + HYBRID_SQL + " SELECT query_id, rank::INTEGER AS rank, id AS doc_id, round(score, 6) AS score FROM fused WHERE rank <= 10")
 def rrf_hybrid(spark, d):
-    index = _index(spark, d)
-    scored = re_.lexical_scores(index, _questions(spark, d)).withColumn("score", F.round("score", 9))
-    length = index.postings.select("id", "length")
-    a = re_.top_k(scored, 50).select("query_id", "id", "rank", F.lit(0).alias("list_no"))
-    b = re_.top_k(scored.join(length, "id").withColumn("short", -F.col("length")), 50, "short").select("query_id", "id", "rank", F.lit(1).alias("list_no"))
-    return re_.reciprocal_rank_fusion(a.unionByName(b), 10).select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    """Dense and sparse lists of 50, fused."""
+    out = re_.search("hybrid", _encoded_questions(spark, d), 10, _index(spark, d), _vectors(spark, d))
+    return out.select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query()
+@query("WITH " + BM25_SQL + HYBRID_SQL + """, words AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower(text), '\\W+'), lambda w: w <> '')) AS asked FROM benchmark),
+judged AS (SELECT query_id, id, round(coalesce(len(list_intersect(asked, list_filter(string_split_regex(lower(d.text), '\\W+'), lambda w: w <> '')))::DOUBLE / nullif(len(asked), 0), 0), 12) AS score
+    FROM fused JOIN words USING (query_id) JOIN documents d ON d.doc_id = id WHERE rank <= 25)
+SELECT query_id, rank::INTEGER AS rank, id AS doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM judged) WHERE rank <= 8""")
 def hybrid_rerank(spark, d):
     """The whole chain with the stand-in encoder and scorer."""
-    encode = su.hashed_encoder(64)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    vectors = docs.select("id", su.encoded(F.col("text"), encode).alias("vector"))
-    questions = _questions(spark, d).withColumn("vector", su.encoded(F.col("question"), encode))
-    out = re_.search("rerank", questions, 8, _index(spark, d), vectors, docs, su.overlap_scorer)
+    scorer = lambda q, t: F.round(su.overlap_scorer(q, t), 12)
+    out = re_.search("rerank", _encoded_questions(spark, d), 8, _index(spark, d), _vectors(spark, d), docs, scorer)
     return out.select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -146,7 +191,7 @@ moved AS (SELECT query_id, r.id, text, source, row_number() OVER (PARTITION BY q
     OR contains(lower(text[:1200]), 'segment results') OR contains(lower(text[:1200]), 'variable interest entit') OR contains(lower(text[:1200]), 'supplementary information'), rank) AS place FROM ranked r JOIN documents d ON d.doc_id = r.id)
 SELECT query_id, md5(string_agg('--- Excerpt ' || place::VARCHAR || ' (Item ' || source || ') ---' || chr(10) || text[:1800], chr(10) || chr(10) ORDER BY place)) AS digest, min_by(id, place) AS first_id FROM moved WHERE place <= 6 GROUP BY query_id""")
 def scope_demotion_context(spark, d):
-    scored = re_.lexical_scores(_index(spark, d), _questions(spark, d)).withColumn("score", F.round("score", 9))
+    scored = re_.lexical_scores(_index(spark, d), _questions(spark, d))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("item"))
     hits = re_.demote_scoped(re_.top_k(scored, 10).join(docs, "id"))
     return re_.contexts(hits).select("query_id", F.md5("context").alias("digest"), F.try_element_at("ids", F.lit("1")).alias("first_id"))
@@ -171,22 +216,22 @@ def stratified_sample(spark, d):
 
 
 BOOT_SQL = """own AS (SELECT x, row_number() OVER (ORDER BY item_id) - 1 AS position, count(*) OVER () AS n FROM (SELECT item_id, {0} AS x FROM benchmark)),
-draws AS (SELECT b, i, n FROM range(500) t(b), (SELECT DISTINCT n FROM own) JOIN range(1000) r(i) ON i < n),
+draws AS (SELECT b, i, n FROM (SELECT b, n, unnest(range(n)) AS i FROM range(2000) t(b), (SELECT DISTINCT n FROM own))),
 means AS (SELECT b, avg(x) AS m, any_value(draws.n) AS n FROM draws JOIN own ON position = ('0x' || substr(md5('7:' || b::VARCHAR || ':' || i::VARCHAR), 1, 8))::BIGINT % draws.n GROUP BY b)"""
 
 
-@query("WITH " + BOOT_SQL.format("length(text)::DOUBLE") + """ SELECT any_value(n)::INTEGER AS n, round((SELECT avg(x) FROM own), 6) AS mean, round(list_sort(list(m))[13], 6) AS low, round(list_sort(list(m))[487], 6) AS high FROM means""")
+@query("WITH " + BOOT_SQL.format("length(text)::DOUBLE") + """ SELECT any_value(n)::INTEGER AS n, round((SELECT avg(x) FROM own), 6) AS mean, round(list_sort(list(m))[51], 6) AS low, round(list_sort(list(m))[1950], 6) AS high FROM means""")
 def bootstrap_ci(spark, d):
     rows = table(spark, d, "benchmark").select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("position"), F.length("text").cast("double").alias("x"))
-    out = re_.bootstrap(rows, "x", 500)
+    out = re_.bootstrap(rows, "x")
     return out.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("WITH " + BOOT_SQL.format("(length(text) - 6 * len(string_split(text, ' ')))::DOUBLE") + """, o AS (SELECT avg(x) AS o FROM own) SELECT any_value(n)::INTEGER AS n, round(any_value(o), 6) AS difference,
-    round(list_sort(list(m))[13], 6) AS low, round(list_sort(list(m))[487], 6) AS high, round(count(*) FILTER (abs(m - o) >= abs(o) - 1e-12) / 500.0, 6) AS p FROM means, o""")
+    round(list_sort(list(m))[51], 6) AS low, round(list_sort(list(m))[1950], 6) AS high, round(count(*) FILTER (abs(m - o) >= abs(o) - 1e-12) / 2000.0, 6) AS p FROM means, o""")
 def paired_bootstrap(spark, d):
     b = table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id")
-    out = re_.paired_bootstrap(b.select("query_id", F.length("text").cast("double").alias("x")), b.select("query_id", (F.size(F.split("text", " ")) * 6).cast("double").alias("x")), "x", 500)
+    out = re_.paired_bootstrap(b.select("query_id", F.length("text").cast("double").alias("x")), b.select("query_id", (F.size(F.split("text", " ")) * 6).cast("double").alias("x")), "x")
     return out.select("n", *[F.round(c, 6).alias(c) for c in ("difference", "low", "high", "p")])
 
 
@@ -259,11 +304,11 @@ SELECT accession, tag AS source, value FROM f WHERE abs(date_diff('day', period,
 def fallback_fact(spark, d):
     """One value an order: the first tag of the chain that has any near the order's date, form A first."""
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("accession"), F.col("l_linenumber").alias("fact_at"), F.col("l_returnflag").alias("form"), F.col("l_extendedprice").alias("value"), F.to_date("l_shipdate").alias("end"))
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("accession"), F.to_date("o_orderdate").alias("period"))
-    near = lines.join(orders, "accession").where(fa.is_close(F.col("end"), F.col("period"), 60))
-    tagged = near.withColumn("tag", F.explode(F.when(F.col("form") != "N", F.array(F.lit("net"), F.lit("gross"))).otherwise(F.array(F.lit("gross")))))
-    order = F.struct(F.when(F.col("tag") == "net", 0).otherwise(1), F.when(F.col("form") != "A", 1).otherwise(0), "fact_at", "end", "value")
-    return tagged.groupBy("accession").agg(F.min_by(F.struct("tag", "value"), order).alias("x")).select("accession", F.col("x.tag").alias("source"), "x.value")
+    tagged = lines.withColumn("tag", F.explode(F.when(F.col("form") != "N", F.array(F.lit("net"), F.lit("gross"))).otherwise(F.array(F.lit("gross")))))
+    # a line is an annual duration up to its day
+    facts = tagged.select("accession", "tag", F.lit(0).alias("unit_at"), F.lit("USD").alias("unit"), F.struct("fact_at", "end", "value").alias("fact_at"), F.date_sub("end", 365).alias("start"), F.lit(False).alias("instant"), "end", "value", F.year("end").alias("fy"), F.lit("FY").alias("fp"), "form", F.lit(0).alias("cik"), F.lit("T").alias("ticker"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("accession"), F.to_date("o_orderdate").alias("period_of_report"))
+    return fa.select_facts(facts, orders, fa.tag_chains(spark, {"price": ("net", "gross")}), form="A", days=60).select("accession", F.col("xbrl_tag").alias("source"), "value")
 
 
 @query("""SELECT o_custkey, 5 AS expected, count(DISTINCT o_orderpriority)::INTEGER AS found, round(count(DISTINCT o_orderpriority) * 100.0 / 5, 1)::DOUBLE AS pct,
@@ -275,7 +320,7 @@ def coverage_report(spark, d):
 
 DIFF_SQL = """side AS (SELECT vec_id, label, vec_id % 2 AS s, embedding::DOUBLE[] AS v FROM embeddings),
 pairs AS (SELECT c.label, c.vec_id AS c, p.vec_id AS p, list_cosine_similarity(c.v, p.v) AS sim FROM side c JOIN side p ON c.label = p.label AND c.s = 1 AND p.s = 0),
-best AS (SELECT label, c, p, sim FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(sim, 9) DESC, p) AS n FROM pairs) WHERE n = 1),
+best AS (SELECT label, c, p, sim FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(sim, 12) DESC, p::VARCHAR) AS n FROM pairs) WHERE n = 1),
 cur AS (SELECT s.label, s.vec_id AS c, p, coalesce(sim, 0) AS sim, CASE WHEN sim >= 0.40 THEN 'unchanged' WHEN sim >= 0.35 THEN 'modified' ELSE 'new' END AS status FROM side s LEFT JOIN best ON c = s.vec_id WHERE s = 1),
 gone AS (SELECT s.label, s.vec_id AS p, coalesce((SELECT max(sim) FROM pairs WHERE pairs.p = s.vec_id), 0) AS sim FROM side s WHERE s = 0 AND s.vec_id NOT IN (SELECT p FROM cur WHERE status <> 'new')),
 diff AS (SELECT label, status, c AS current_id, CASE WHEN status <> 'new' THEN p END AS prior_id, sim FROM cur UNION ALL SELECT label, 'removed', NULL, p, sim FROM gone)
@@ -283,11 +328,11 @@ diff AS (SELECT label, status, c AS current_id, CASE WHEN status <> 'new' THEN p
 
 
 def _aligned(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
-    return dr.align(v.where("id % 2 = 1"), v.where("id % 2 = 0"), "label", unchanged=0.40, modified=0.35)
+    v = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "label", F.col("embedding").alias("vector"), "vec_id")
+    return dr.align(v.where("vec_id % 2 = 1"), v.where("vec_id % 2 = 0"), "label", unchanged=0.40, modified=0.35)
 
 
-@query("WITH " + DIFF_SQL + "SELECT label, status, current_id, prior_id, round(sim, 6) AS similarity FROM diff")
+@query("WITH " + DIFF_SQL + "SELECT label, status, current_id::VARCHAR AS current_id, prior_id::VARCHAR AS prior_id, round(sim, 6) AS similarity FROM diff")
 def diff_status(spark, d):
     return _aligned(spark, d).withColumn("similarity", F.round("similarity", 6))
 
@@ -329,38 +374,70 @@ def confusion(spark, d):
     return dr.class_report(x).select("label", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "support")
 
 
-@query()
+@query("WITH " + CLAIMS_SQL.rstrip().rstrip(",") + """ SELECT doc_id, raw, value, is_percentage, start, (start + length(raw))::INTEGER AS "end", opens, closes FROM claims""")
 def extract_claims(spark, d):
-    c = table(spark, d, "documents").select("doc_id", F.explode(cl.claims(F.col("text"))).alias("c"))
-    return c.select("doc_id", "c.raw", "c.value", "c.is_percentage", "c.start", "c.end")
+    c = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(cl.claims(F.col("text"))).alias("c"))
+    return c.select("doc_id", "c.raw", "c.value", "c.is_percentage", "c.start", "c.end", "c.opens", "c.closes")
 
 
-@query()
+#: The figures that back a document's claims: its length and a version, and the counts of a made-up diff.
+HELD_SQL = """held AS (SELECT doc_id, n_chars::DOUBLE AS value FROM documents UNION ALL SELECT doc_id, 2.0 FROM documents UNION ALL SELECT doc_id, (doc_id % 50 + 4000)::DOUBLE FROM documents),
+"""
+
+
+def _gated(spark, d):
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "source", "n_chars"))
+    verified = F.create_map(F.lit("n_chars"), F.col("n_chars").cast("double"), F.lit("version"), F.lit(2.0))
+    diff = F.struct((F.col("doc_id") % 50 + 4000).alias("new"), *[F.lit(None).cast("long").alias(c) for c in ("modified", "unchanged", "removed")], F.lit(None).cast("double").alias("drift_score"))
+    return cl.measured(cl.gate(docs.withColumns({"verified": verified, "diff": diff}), diff="diff"))
+
+
+@query("WITH " + CLAIMS_SQL + HELD_SQL + GATE_SQL + """SELECT doc_id, n_claims, n_checked, n_unsupported, support_rate, words_before, words_after, sentences_removed, md5(after_) AS digest FROM measured""")
 def claims_gate(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", F.create_map(F.lit("n_chars"), F.col("n_chars").cast("double"), F.lit("version"), F.lit(2.0)).alias("verified"))
-    return cl.measured(cl.gate(docs)).select("doc_id", "n_claims", "n_checked", "n_unsupported", "support_rate", "words_before", "words_after", "sentences_removed", F.md5("shown").alias("digest"))
+    return _gated(spark, d).select("doc_id", "n_claims", "n_checked", "n_unsupported", "support_rate", "words_before", "words_after", "sentences_removed", F.md5("shown").alias("digest"))
 
 
-@query()
-def sectionise(spark, d):
-    """Sections of reports made of the documents: each run of five texts of a source under numbered headings."""
+def _reports(spark, d):
+    """Reports made of the documents: each run of five texts of a source under numbered headings."""
     docs = table(spark, d, "documents")
     place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
     items = F.array(*[F.lit(i) for i in ("1", "1A", "7", "7A", "8")])
     parts = docs.withColumn("at", place).select(F.concat_ws("-", "source", F.floor(F.col("at") / 5).cast("string")).alias("accession"), (F.col("at") % 5).alias("place"), "text")
     part = lambda x: F.concat(F.lit("Item "), F.get(items, x["place"]), F.lit(". Part\n"), F.repeat(F.concat(x["text"], F.lit("\n\n")), 12))
-    reports = parts.groupBy("accession").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), part), "").alias("text"))
-    return se.section_table(reports).select("accession", "item", "char_start", "char_end", "n_tokens", "detect_method", F.md5("text").alias("digest"))
+    return parts.groupBy("accession").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), part), "").alias("text"))
 
 
-@query()
+@query("WITH " + SECTIONS_SQL + "SELECT accession, item, char_start, char_end, n_tokens, 'item-heading' AS detect_method, md5(body) AS digest FROM sections")
+def sectionise(spark, d):
+    return se.section_table(_reports(spark, d)).select("accession", "item", "char_start", "char_end", "n_tokens", "detect_method", F.md5("text").alias("digest"))
+
+
+@query("WITH " + SECTIONS_SQL + """SELECT r.accession, round(count(item) * 100.0 / 5, 1)::DOUBLE AS coverage, coalesce(string_agg(item, ',' ORDER BY char_start), '') AS found FROM reports r LEFT JOIN sections s USING (accession) GROUP BY r.accession""")
+def section_coverage(spark, d):
+    out = se.section_report(_reports(spark, d))
+    return out.select("accession", F.col("coverage").cast("double").alias("coverage"), F.array_join("found", ",").alias("found"))
+
+
+@query("""WITH t AS (SELECT doc_id::VARCHAR AS accession, text || chr(10) || CASE doc_id % 3 WHEN 0 THEN '> Risk  Factors.' WHEN 1 THEN 'Our risk factors changed' ELSE 'Risk Factors' END || chr(10) || 'end' AS text FROM documents),
+h AS (SELECT accession, text, regexp_extract(text, '(?i)risk\\s+factors') AS m, instr(text, regexp_extract(text, '(?i)risk\\s+factors')) - 1 AS spot FROM t)
+SELECT accession, '1A' AS item, spot::INTEGER AS char_start, round(spot * 100.0 / length(text), 1)::DOUBLE AS position, accession::BIGINT % 3 <> 1 AS line_start, accession::BIGINT % 3 <> 1 AS alone, m AS matched, md5(text[greatest(0, spot - 80) + 1:spot]) AS before_digest, text[spot + length(m) + 1:spot + length(m) + 80] AS after FROM h""")
+def title_contexts(spark, d):
+    """Texts with one title below them, in three forms."""
+    form = F.when(F.col("doc_id") % 3 == 0, "> Risk  Factors.").when(F.col("doc_id") % 3 == 1, "Our risk factors changed").otherwise("Risk Factors")
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("accession"), F.concat_ws("\n", "text", form, F.lit("end")).alias("text")))
+    out = se.title_contexts(docs)
+    return out.select("accession", "item", "char_start", F.col("position").cast("double").alias("position"), "line_start", "alone", "matched", F.md5("before").alias("before_digest"), "after")
+
+
+@query(CHUNKS_SQL)
 def chunk_documents(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("accession"), F.lit("1A").alias("item"), F.upper("lang").alias("ticker"), F.lit(2024).alias("fiscal_year"), F.lit("Risk Factors").alias("item_title"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select(F.col("doc_id").cast("string").alias("accession"), F.lit("1A").alias("item"), F.upper("lang").alias("ticker"), F.lit(2024).alias("fiscal_year"), F.lit("Risk Factors").alias("item_title"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return ch.chunk_table(docs).select("chunk_id", "accession", "chunk_index", "n_tokens", "has_table", "char_start", "char_end", F.md5("text").alias("digest"))
 
 
 @query("""SELECT CASE WHEN doc_id % 7 = 0 THEN 'no_diff' WHEN doc_id % 7 = 1 THEN 'no_current' WHEN doc_id % 7 = 2 THEN 'no_baseline' WHEN doc_id % 7 = 3 THEN 'drift_undefined'
-    WHEN n_chars % 40 < 5 THEN 'too_few_chunks' WHEN doc_id % 50 > 3 * (n_chars % 40) THEN 'mostly_removed' END AS reason, count(*) AS n FROM documents GROUP BY 1 HAVING reason IS NOT NULL""")
+    WHEN n_chars % 40 < 5 THEN 'too_few_chunks' WHEN doc_id % 50 > 3 * (n_chars % 40) THEN 'mostly_removed' END AS reason, count(*) AS n FROM documents GROUP BY 1 HAVING reason IS NOT NULL
+UNION ALL SELECT 'duplicate', sum(n)::BIGINT FROM (SELECT count(*) - 1 AS n FROM documents WHERE doc_id % 7 > 3 AND n_chars % 40 >= 5 AND doc_id % 50 <= 3 * (n_chars % 40) GROUP BY source, doc_id % 10) HAVING sum(n) > 0""")
 def rejects(spark, d):
     return fe.rejections(_diffs(spark, d))
 
@@ -441,10 +518,16 @@ def _frame(spark, d):
     return own.withColumn("target", F.col("a") / 1e6 + noise)
 
 
-@query()
+@query("WITH " + FRAME_SQL + RIDGE_SQL + " SELECT fold, n_train, n_test, round(ic, 6) AS ic, round(auc, 6) AS auc, round(rmse, 6) AS rmse, round(baseline_rmse, 6) AS baseline_rmse, round(w1, 6) AS weight_a, round(w4, 6) AS weight_e FROM ridge")
 def walk_forward_ridge(spark, d):
     out = mo.walk_forward(_frame(spark, d), ["a", "b", "c", "e"], "target")
-    return out.select("fold", "n_train", "n_test", *[F.round(c, 6).alias(c) for c in ("ic", "auc", "rmse", "baseline_rmse")])
+    weights = [F.round(F.col("coefficients")[c], 6).alias(f"weight_{c}") for c in ("a", "e")]
+    return out.select("fold", "n_train", "n_test", *[F.round(c, 6).alias(c) for c in ("ic", "auc", "rmse", "baseline_rmse")], *weights)
+
+
+@query("WITH " + FRAME_SQL + RIDGE_SQL + """ SELECT count(*) AS n_folds, round(avg(ic), 4) AS mean_ic, round(stddev_pop(ic), 4) AS std_ic, round(avg(auc), 4) AS mean_auc, round(avg(1 - rmse / baseline_rmse), 4) AS rmse_gain FROM ridge""")
+def walk_forward_summary(spark, d):
+    return mo.summary(mo.walk_forward(_frame(spark, d), ["a", "b", "c", "e"], "target"))
 
 
 @query()
@@ -452,9 +535,10 @@ def walk_forward_trees(spark, d):
     return mo.walk_forward_trees(_frame(spark, d), ["a", "b", "c", "e"], "target")
 
 
-@query()
+@query("WITH " + FRAME_SQL + PERMUTATION_SQL)
 def permutation(spark, d):
-    return mo.permutation_test(_frame(spark, d), ["a", "b", "c", "e"], "target")
+    out = mo.permutation_test(_frame(spark, d), ["a", "b", "c", "e"], "target")
+    return out.select(*[F.round(c, 6).alias(c) for c in ("observed", "p", "null_mean", "null_std", "null_p95")], "n")
 
 
 @query("""SELECT event_type, count(*) AS n, sum(tin)::BIGINT AS tokens_in, sum(tout)::BIGINT AS tokens_out, round(sum(tin * 0.15 + tout * 0.6) / 1e6, 6) AS cost, list_sort(list(value))[count(*) // 2 + 1] AS p50, list_sort(list(value))[floor(0.95 * count(*))::BIGINT + 1] AS p95
@@ -465,7 +549,10 @@ def usage_percentiles(spark, d):
     return su.usage(priced, "event_type").withColumn("cost", F.round("cost", 6))
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS prompt_id, turn % 2 = 0 AND text IS NOT NULL AS told, length(text) AS n, unnest(['revenue', 'net_income']) AS metric FROM conversations),
+x AS (SELECT *, told AND metric = 'revenue' AS found FROM c)
+SELECT prompt_id, metric, found, CASE WHEN found THEN n END::DOUBLE AS value_as_stated, CASE WHEN found THEN 'millions' ELSE 'units' END AS scale, CASE WHEN found THEN 0.9 ELSE 0 END::DOUBLE AS confidence, CASE WHEN found THEN '2' END AS citation,
+    NULL::VARCHAR AS quote, false AS errored, NOT found AS abstained, CASE WHEN found THEN n * 1e6 END::DOUBLE AS value FROM x""")
 def parse_replies(spark, d):
     """Replies made of the conversations: fenced JSON for even turns, prose for the others."""
     c = table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("prompt_id"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit('```json\n{"revenue": {"found": true, "value_as_stated": '), F.length("text").cast("string"), F.lit(', "scale": "millions", "confidence": 0.9, "citation": 2}}\n```'))).otherwise(F.col("text")).alias("reply"))
@@ -475,8 +562,7 @@ def parse_replies(spark, d):
 
 @query("""SELECT lang, list_sort(list(n_chars))[count(*) // 2 + 1] AS upper_median, list_sort(list(n_chars))[floor(0.95 * count(*))::BIGINT + 1] AS p95 FROM documents GROUP BY lang""")
 def index_percentiles(spark, d):
-    n = F.collect_list("n_chars")
-    return table(spark, d, "documents").groupBy("lang").agg(upper_median(n).alias("upper_median"), index_percentile(n, 0.95).alias("p95"))
+    return order_statistics(table(spark, d, "documents").select("lang", "n_chars"), "n_chars", {"upper_median": 0.5, "p95": 0.95}, "lang")
 
 
 @query("""WITH a AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) / count(*) AS accuracy, count(*) FILTER (quality = 1 OR toxic = 0) / count(*) AS ceiling FROM labels)
@@ -491,7 +577,7 @@ def bottleneck_diagnosis(spark, d):
 SELECT count(DISTINCT q.query_id) AS n, count(DISTINCT r.query_id) AS reachable, round(count(DISTINCT r.query_id) / count(DISTINCT q.query_id), 6) AS ceiling FROM qrels q LEFT JOIN ranked r ON r.query_id = q.query_id AND r.id = q.id""")
 def retrieval_ceiling(spark, d):
     """The share of labelled items whose context of six holds a relevant document."""
-    scored = re_.lexical_scores(_index(spark, d), _questions(spark, d)).withColumn("score", F.round("score", 9))
+    scored = re_.lexical_scores(_index(spark, d), _questions(spark, d))
     found = re_.query_scores(re_.top_k(scored, 6), _qrels(spark, d))
     return found.agg(F.count("*").alias("n"), F.count_if(F.col("rr") > 0).alias("reachable"), F.round(F.avg((F.col("rr") > 0).cast("double")), 6).alias("ceiling"))
 
@@ -505,14 +591,26 @@ def cost_estimate(spark, d):
     return own.agg(n.alias("pending"), (n * 3).alias("calls"), (n * 3 * 3300).alias("tokens"), F.round(su.call_cost(n * 3 * 3300, F.lit(0), F.lit(0.15), F.lit(0.0)), 6).alias("cost"))
 
 
-@query()
+@query("WITH " + CLAIMS_SQL + HELD_SQL + GATE_SQL + """SELECT sum(n_unsupported)::BIGINT AS unsupported, sum(n_checked)::BIGINT AS checked, round(sum(n_unsupported) / nullif(sum(n_checked), 0), 6) AS share,
+    round(avg(words_after * 100.0 / nullif(words_before, 0)), 3) AS retained_pct FROM measured""")
 def gate_totals(spark, d):
     """Unsupported and checked claims over all memos."""
     own = claims_gate(spark, d)
     return own.agg(F.sum("n_unsupported").alias("unsupported"), F.sum("n_checked").alias("checked"), F.round(F.try_divide(F.sum("n_unsupported"), F.sum("n_checked")), 6).alias("share"), F.round(F.avg(F.try_divide(F.col("words_after") * 100.0, F.col("words_before"))), 3).alias("retained_pct"))
 
 
-@query()
+@query("WITH " + CLAIMS_SQL + HELD_SQL + GATE_SQL + """SELECT source AS config, count(*) AS n_memos, round(sum(n_checked) / count(*), 2) AS claims_per_memo, round(sum(n_unsupported) / count(*), 3) AS unsupported_generated, 0::DOUBLE AS unsupported_shown,
+    count(*) FILTER (n_unsupported > 0) AS memos_with_any, sum(sentences_removed)::BIGINT AS sentences_removed, round(100.0 * sum(words_after) / nullif(sum(words_before), 0), 1) AS words_retained_pct FROM measured JOIN documents USING (doc_id) GROUP BY source""")
+def gate_averages(spark, d):
+    """Averages of the gate by configuration; what is shown goes through the gate again and has nothing left to remove."""
+    first = _gated(spark, d).select("doc_id", "source", "verified", "diff", "shown", "n_checked", "n_unsupported", "sentences_removed", "words_before", "words_after")
+    again = cl.gate(first.select("doc_id", "verified", "diff", F.col("shown").alias("text")), diff="diff").select("doc_id", F.col("n_unsupported").alias("n_unsupported_shown"))
+    return su.gate_averages(first.join(again, "doc_id").withColumnRenamed("source", "config"))
+
+
+@query("""WITH o AS (SELECT 'o' || o_orderkey::VARCHAR AS accession, o_orderkey AS k, o_totalprice AS price, year(o_orderdate)::INTEGER AS fiscal_year FROM orders)
+SELECT accession, 'net_income' AS metric, CASE WHEN k % 100 = 0 THEN 'NetIncomeLoss' ELSE 'ProfitLoss' END AS xbrl_tag, price * 2 AS value, false AS is_instant, fiscal_year FROM o
+UNION ALL SELECT accession, 'total_assets', 'Assets', price * 9, true, fiscal_year FROM o""")
 def selected_facts(spark, d):
     """The fact chains on payloads made of orders: two tags, durations of 365 and 90 days, and an instant."""
     o = table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("accession"), F.to_date("o_orderdate").alias("period_of_report"), "o_custkey", "o_totalprice", "o_orderkey")

@@ -7,9 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from ..functions.html_dom import html_text
 from ..functions.text import context_prefix, html_by_regex, stable_id, token_count, value_variants
 from ..sources import filings as src
+from ..sources.shared import new_folder, spread
+from ..streaming.events import drained_whole, event_stream, tumbling_counts
 from .registry import query, table
+from .text_sql import HTML_SQL
 
 
 @query("""SELECT (SELECT count(*) FROM customer) AS companies, (SELECT count(*) FROM orders) AS filings,
@@ -119,12 +123,17 @@ def distinct_filings(spark, d):
     return table(spark, d, "orders").where("o_orderstatus IS NOT NULL").select("o_custkey", F.year("o_orderdate").alias("fiscal_year")).distinct()
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem
-    QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC) = 1""")
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate FROM lineitem),
+old AS (SELECT * EXCLUDE (l_shipdate) REPLACE (-l_quantity AS l_quantity) FROM l WHERE l_orderkey % 3 <> 0), new AS (SELECT * FROM l WHERE l_orderkey % 3 <> 1)
+SELECT * FROM old ANTI JOIN new USING (l_orderkey, l_linenumber)
+UNION ALL SELECT * EXCLUDE (l_shipdate) FROM new QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC) = 1""")
 def upsert_last_wins(spark, d):
+    """Two thirds of the lines, with other quantities, are there; two thirds are new, half of them in the others' place."""
     columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    new = table(spark, d, "lineitem").select(*columns, F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("load_seq"))
-    return src.upserted(new.select(*columns).limit(0), new, "l_orderkey", "l_linenumber")
+    lines = table(spark, d, "lineitem")
+    old = lines.where("l_orderkey % 3 <> 0").withColumn("l_quantity", -F.col("l_quantity")).select(*columns)
+    new = lines.where("l_orderkey % 3 <> 1").select(*columns, F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("load_seq"))
+    return src.upserted(old, new, "l_orderkey", "l_linenumber")
 
 
 @query("""PIVOT (SELECT c_nationkey, year(o_orderdate)::INTEGER AS y FROM orders JOIN customer ON c_custkey = o_custkey)
@@ -187,11 +196,9 @@ def html_regex_text(spark, d):
     return text.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
-@query()
+@query(HTML_SQL)
 def html_dom_text(spark, d):
-    from ..functions.html_dom import html_text
-
-    return table(spark, d, "pages").select("page_id", html_text(F.col("html")).alias("x")).select("page_id", "x.n_tables", "x.n_words", "x.parser_used", F.md5("x.text").alias("digest"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", html_text(F.col("html")).alias("x")).select("page_id", "x.n_tables", "x.n_words", "x.parser_used", F.md5("x.text").alias("digest"))
 
 
 @query("""SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter(
@@ -215,15 +222,11 @@ def ext_setops(spark, d):
     return both.exceptAll(table(spark, d, "nation").where("n_regionkey = 0").select("n_nationkey"))
 
 
-@query()
+@query("""SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def ext_streaming_windows(spark, d):
     """The event stream in windows of a day, drained: all rows of all files, late ones and the last windows too."""
-    import uuid
-
-    from ..streaming.events import drained_whole, event_stream, tumbling_counts
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    root = f"{folder.rstrip('/')}/tessera-stream-{uuid.uuid4().hex}"
+    root = new_folder(spark, "stream")
     # streams read folders: the pattern names the table's file or files
     stream = event_stream(spark, f"{d}/events.parque*", table(spark, d, "events").schema)
-    return drained_whole(tumbling_counts(stream.withColumn("ts", F.col("ts").cast("timestamp"))), f"{root}/out", f"{root}/state")
+    out = drained_whole(tumbling_counts(stream.withColumn("ts", F.col("ts").cast("timestamp"))), f"{root}/out", f"{root}/state")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -1,6 +1,6 @@
 """All named queries of the library."""
 
-from . import analysis, relational  # noqa: F401  they register their queries
+from . import analysis, relational, studies  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -118,3 +118,27 @@ def read_lexical_index(spark: SparkSession, path: str):
     from ..operators.retrieval import LexicalIndex
 
     return LexicalIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "scale")))
+
+
+def write_vector_index(vectors: DataFrame, path: str) -> None:
+    """The vectors of one encoder: id, vector; replaces what is there."""
+    vectors.select("id", "vector").write.mode("overwrite").parquet(f"{path}/vectors")
+
+
+def read_vector_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/vectors")
+
+
+def upsert_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The index with the vectors of `new` (id, vector, load_seq) in the place of those of their ids; write it to another folder."""
+    return upserted(old, new, "id")
+
+
+def write_artifact(df: DataFrame, path: str) -> None:
+    """A report or evaluation set as JSON lines."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An artifact in its stated schema; fields that it lacks are null."""
+    return spark.read.schema(schema).json(path)

@@ -111,12 +111,44 @@ def unit(*x):
     return (np.array(x) / np.linalg.norm(x)).tolist()
 
 
-def test_drift_alignment(spark):
-    cur = spark.createDataFrame([("b", 1, unit(1, 0, 0)), ("b", 2, unit(1, 0.1, 0)), ("b", 3, unit(0, 0, 1)), ("only", 4, unit(1, 0, 0))], "block string, id int, vector array<double>")
-    pri = spark.createDataFrame([("b", 10, unit(1, 0, 0)), ("b", 11, unit(0, 1, 0)), ("gone", 12, unit(1, 0, 0))], "block string, id int, vector array<double>")
-    got = {(r.block, r.current_id, r.prior_id): (r.status, round(r.similarity, 3)) for r in drift.align(cur, pri, "block").collect()}
-    assert got["b", 1, 10][0] == got["b", 2, 10][0] == "unchanged" and got["b", 3, None] == ("new", 0.0)
-    assert got["b", None, 11][0] == "removed" and got["only", 4, None] == ("new", 0.0) and got["gone", None, 12] == ("removed", 0.0)
+@pytest.mark.parametrize("tile_rows", [1024, 1])
+def test_drift_alignment(spark, tile_rows):
+    cur = spark.createDataFrame([("b", "c1", unit(1, 0, 0)), ("b", "c2", unit(1, 0.1, 0)), ("b", "c3", unit(0, 0, 1)), ("b", "c4", None), ("only", "c5", unit(1, 0, 0))], "block string, id string, vector array<double>")
+    pri = spark.createDataFrame([("b", "p10", unit(1, 0, 0)), ("b", "p11", unit(0, 1, 0)), ("b", "p9", [5.0, 0.0, 0.0]), ("gone", "p12", unit(1, 0, 0))], "block string, id string, vector array<double>")
+    got = {(r.block, r.current_id, r.prior_id): (r.status, round(r.similarity, 3)) for r in drift.align(cur, pri, "block", tile_rows=tile_rows).collect()}
+    assert got == {
+        ("b", "c1", "p10"): ("unchanged", 1.0), ("b", "c2", "p10"): ("unchanged", 0.995), ("b", "c3", None): ("new", 0.0), ("b", "c4", None): ("new", 0.0), ("only", "c5", None): ("new", 0.0),
+        ("b", None, "p11"): ("removed", 0.1), ("b", None, "p9"): ("removed", 1.0), ("gone", None, "p12"): ("removed", 0.0),
+    }
+
+
+def test_drift_equals_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), "ab"[k % 2], rng.integers(0, 3, 6).astype(float).tolist()) for k in range(80)]
+    df = spark.createDataFrame(rows, "id int, block string, vector array<double>")
+    got = {(r.current_id, r.prior_id): r for r in drift.align(df.where("id % 4 < 2"), df.where("id % 4 >= 2"), "block", unchanged=0.95, modified=0.6, tile_rows=7).collect()}
+    norm = lambda v: np.array(v) / (np.linalg.norm(v) or 1.0)
+    for i, block, v in rows:
+        own = [(-round(float(norm(v) @ norm(w)), 12), j) for j, other, w in rows if other == block and (i % 4 < 2) != (j % 4 < 2)]
+        if i % 4 < 2:
+            sim, j = min(own)
+            assert got[i, j if -sim >= 0.6 else None].similarity == pytest.approx(-sim)
+        elif not any(p == i for c, p in got if c is not None):
+            assert got[None, i].similarity == pytest.approx(-min(own)[0])
+
+
+def test_diff_of_texts_keeps_failures_as_rows(spark):
+    def encode(texts):
+        if any("boom" in t for t in texts):
+            raise ValueError("no")
+        return np.array([[1.0, 0.0] if "supply" in t else [0.0, 1.0] for t in texts])
+
+    cur = spark.createDataFrame([("s", 1, "supply " * 400), ("s", 2, "cyber risk")], "item string, id int, text string")
+    pri = spark.createDataFrame([("s", 7, "supply chain")], cur.schema)
+    got = {r.current_id: r for r in drift.diff_texts(cur, pri, encode, "item").collect()}
+    assert got[1].status == "unchanged" and got[1].text is None and got[2].status == "new" and got[2].text == "cyber risk"
+    bad = drift.diff_texts(spark.createDataFrame([("s", 1, "boom")], cur.schema), pri, encode, "item").collect()
+    assert {(r.current_id, r.prior_id, r.status, r.error) for r in bad} == {(1, None, None, "ValueError: no"), (None, 7, "removed", None)}
 
 
 def test_undefined_drift_has_a_reason(spark):
@@ -134,18 +166,59 @@ def test_forward_returns(spark):
     assert got["A"].forward == pytest.approx(0.9) and got["A"].excess == pytest.approx(0.0) and got["B"].forward is None and got["C"].excess is None
 
 
-def test_ridge_against_closed_form_and_leakage():
-    rng = np.random.default_rng(1)
+def plain_folds(rows, features, target, alpha=10.0):
+    """Each fold fitted on its own copy of the earlier rows, as the study is stated."""
     import pandas as pd
 
-    train, test = (pd.DataFrame(rng.standard_normal((n, 3)), columns=["a", "b", "y"]) for n in (60, 10))
-    train.loc[:5, "a"] = np.nan
-    train["dead"] = np.nan
-    test["dead"] = 1.0
-    got = models.fit_fold(train, test, ["a", "b", "dead"], "y")
-    assert set(got["coefficients"]) == {"a", "b"}
-    other = models.fit_fold(train, test * 100, ["a", "b", "dead"], "y")
-    assert other["coefficients"] == got["coefficients"]
+    df, out = pd.DataFrame(rows), {}
+    for fold in sorted(df.fiscal_year.unique()):
+        train, test = df[df.fiscal_year < fold], df[df.fiscal_year == fold]
+        if len(train) < 40 or len(test) < 5:
+            continue
+        used = [f for f in features if train[f].notna().any()]
+        filled = [x[used].fillna(train[used].median()) for x in (train, test)]
+        mean, deviation = filled[0].mean(), filled[0].std().replace(0, 1.0)
+        a, b = (((x - mean) / deviation).to_numpy() for x in filled)
+        y, base = train[target].to_numpy(), train[target].mean()
+        weights = np.linalg.solve(a.T @ a + alpha * np.eye(len(used)), a.T @ (y - base))
+        predicted, z = pd.Series(base + b @ weights), test[target].reset_index(drop=True)
+        up = z > 0
+        ranks = predicted.rank()
+        auc = (ranks[up].sum() - up.sum() * (up.sum() + 1) / 2) / (up.sum() * (~up).sum()) if 0 < up.sum() < len(z) else None
+        out[fold] = (len(train), len(test), ranks.corr(z.rank()), auc, ((predicted - z) ** 2).mean() ** 0.5, ((base - z) ** 2).mean() ** 0.5, dict(zip(used, weights)))
+    return out
+
+
+def test_ridge_equals_each_fold_fitted_alone(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(240):
+        x = rng.standard_normal(4)
+        rows.append({"ticker": f"t{k % 40:02d}", "fiscal_year": 2015 + k // 40, "a": float(1e7 + 1e6 * x[0]), "b": float(x[1]) if rng.random() < 0.7 else None, "late": float(x[2]) if k >= 120 else None, "dead": None, "flat": 3.0, "y": float(x[0] - x[1] + x[3])})
+    features = ["a", "b", "late", "dead", "flat"]
+    schema = "ticker string, fiscal_year int, a double, b double, late double, dead double, flat double, y double"
+    df = spark.createDataFrame([tuple(r.values()) for r in rows] + [("t0", 2020, 1.0, None, None, None, 1.0, None), ("t0", 2020, 1.0, None, None, None, 1.0, float("inf"))], schema).repartition(3)
+    want, got = plain_folds(rows, features, "y"), {r.fold: r for r in models.walk_forward(df, features, "y").collect()}
+    assert set(got) == set(want) and len(want) == 5
+    for fold, (n, m, *figures, weights) in want.items():
+        r = got[fold]
+        assert (r.n_train, r.n_test) == (n, m) and [r.ic, r.auc, r.rmse, r.baseline_rmse] == pytest.approx(figures)
+        assert r.coefficients == pytest.approx(weights)
+    summary = models.summary(models.walk_forward(df, features, "y")).first()
+    assert summary.n_folds == 5 and summary.mean_ic == pytest.approx(np.mean([w[2] for w in want.values()]), abs=1e-4)
+    assert models.summary(models.walk_forward(df.limit(3), features, "y")).count() == 0
+
+
+def test_shuffled_targets_are_those_of_the_year(spark):
+    rows = [(f"t{k}", 2000 + k % 3, float(k)) for k in range(30)]
+    df = spark.createDataFrame(rows, "ticker string, fiscal_year int, y double").repartition(4)
+    got = models.shuffled_targets(df, "fiscal_year", "ticker", 20, 7).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.permutation, r.fiscal_year), []).append((r.ticker, r.z))
+    assert len(by) == 63 and all(sorted(z for _, z in own) == sorted(y for _, f, y in rows if f == year) for (_, year), own in by.items())
+    assert all(z == float(t[1:]) for (p, _), own in by.items() if p == 0 for t, z in own)
+    assert len({tuple(sorted(own)) for (p, year), own in by.items() if year == 2000}) > 15
 
 
 def test_permutation_p_is_never_zero(spark):
@@ -191,3 +264,68 @@ def test_stream_drops_duplicates(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     out = events.drained(events.distinct_events(events.event_stream(spark, str(tmp_path / "in"), df.schema)), str(tmp_path / "out"), str(tmp_path / "state"))
     assert out.count() == 2
+
+
+def test_whole_sinks_and_sources(spark, tmp_path):
+    (tmp_path / "map.json").write_text('{"0": {"cik_str": 320193, "ticker": "aapl", "title": "Apple"}}')
+    assert [tuple(r) for r in src.read_ticker_map(spark, str(tmp_path / "map.json")).collect()] == [("AAPL", 320193, "Apple")]
+    (tmp_path / "list.yaml").write_text("tickers:\n  - aapl\n  - ticker: BRK.B  # two\n")
+    assert {"AAPL", "BRK.B"} <= {r.ticker for r in src.universe(spark, str(tmp_path / "list.yaml")).collect()}
+    assert spark.range(1).select(src.padded_cik(F.lit(320193))).first()[0] == "0000320193"
+    (tmp_path / "facts.json").write_text('{"cik": 1, "entityName": "E", "facts": {"us-gaap": {"Assets": {"units": {"USD": [{"end": "2024-09-28", "val": 7, "accn": "a1"}]}}}}}')
+    assert facts.flat_facts(src.read_facts(spark, str(tmp_path / "facts.json")).withColumn("ticker", F.lit("T"))).first().value == 7.0
+    landed = spark.createDataFrame([("a", 0), ("b", 9)], "accession string, n_bytes int")
+    assert [r.accession for r in src.not_landed(spark.createDataFrame([("a",), ("b",), ("c",)], "accession string"), landed).orderBy("accession").collect()] == ["a", "c"]
+    old, new = (spark.createDataFrame(r, "accession string, x int") for r in ([("a", 1), ("b", 2)], [("b", 3), ("c", 4)]))
+    for df in (old, new):
+        src.replace_partitions(df, str(tmp_path / "parts"), "accession")
+    assert sorted((r.accession, r.x) for r in spark.read.parquet(str(tmp_path / "parts")).collect()) == [("a", 1), ("b", 3), ("c", 4)]
+    src.write_features(old, str(tmp_path / "store"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "store/features.csv")).count() == spark.read.parquet(str(tmp_path / "store/features.parquet")).count() == 2
+    src.write_artifact(spark.createDataFrame([("q", None, [1, 2])], "id string, value double, ids array<int>"), str(tmp_path / "set"))
+    assert src.read_artifact(spark, str(tmp_path / "set"), "id string, value double, ids array<int>, later string").first().asDict() == {"id": "q", "value": None, "ids": [1, 2], "later": None}
+    spark.createDataFrame([("T", "2024-01-02", 5)], "ticker string, date string, close int").write.parquet(str(tmp_path / "prices"))
+    assert tuple(src.read_prices(spark, str(tmp_path / "prices")).first()) == ("T", dt.date(2024, 1, 2), 5.0)
+
+
+def test_indexes_are_stored_and_upserted(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "net sales 391,035 391,035"), (2, "cost of sales"), (3, None), (4, "")], "id int, text string")
+    counts = {r.id: (r.length, {c.term: c.tf for c in r.counts}) for r in retrieval.term_counts(docs, "id", "text").collect()}
+    assert counts == {1: (4, {"net": 1, "sales": 1, "391,035": 2}), 2: (3, {"cost": 1, "of": 1, "sales": 1}), 3: (0, {}), 4: (0, {})}
+    src.write_lexical_index(retrieval.lexical_index(retrieval.term_counts(docs, "id", "text")), str(tmp_path / "lexical"))
+    index = src.read_lexical_index(spark, str(tmp_path / "lexical"))
+    asked = spark.createDataFrame([("q", "what of 391,035")], "query_id string, question string")
+    assert [r.id for r in retrieval.lexical_search(index, asked, 1).collect()] == [1]
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id int, vector array<double>")
+    src.write_vector_index(v, str(tmp_path / "dense"))
+    new = spark.createDataFrame([(2, [1.0, 1.0], 1), (3, [5.0, 5.0], 1)], "id int, vector array<double>, load_seq int")
+    src.write_vector_index(src.upsert_vectors(src.read_vector_index(spark, str(tmp_path / "dense")), new), str(tmp_path / "dense2"))
+    again = src.read_vector_index(spark, str(tmp_path / "dense2"))
+    assert again.count() == 3 and {r.id: r.vector for r in again.collect()}[2] == [1.0, 1.0]
+
+
+def test_dense_search_in_slices(spark):
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(60)], "id long, vector array<double>")
+    q = v.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    whole, sliced = ({(r.query_id, r.rank, r.id) for r in retrieval.dense_search(q, v, 4, query_bytes=n).collect()} for n in (1 << 20, 200))
+    assert whole == sliced and len(whole) == 80
+
+
+def test_order_statistics(spark):
+    rows = [(g, float(x)) for g, n in (("a", 1), ("b", 7), ("c", 40)) for x in range(n)] + [("b", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    from tessera.functions.stats import order_statistics
+
+    got = {r.g: (r.mid, r.high) for r in order_statistics(df, "x", {"mid": 0.5, "high": 0.95}, "g").collect()}
+    assert got == {"a": (0.0, 0.0), "b": (3.0, 6.0), "c": (20.0, 38.0)}
+    assert order_statistics(df, "x", {"mid": 0.5}).first().mid == sorted(x for _, x in rows if x is not None)[24]
+    assert order_statistics(df.limit(0), "x", {"mid": 0.5}).count() == 0
+
+
+def test_usable_figures_and_profile(spark):
+    df = spark.createDataFrame([(True, 1.0, "c", 0.5), (True, 1.0, "c", 0.4), (True, None, "c", 0.9), (None, 1.0, "c", 0.9), (True, 1.0, None, 0.9)], "f boolean, v double, c string, p double")
+    assert [r[0] for r in df.select(verify.usable(F.col("f"), F.col("v"), F.col("c"), F.col("p"))).collect()] == [True, False, False, False, False]
+    store = spark.createDataFrame([("A", 2020, 30, 0.1), ("A", 2021, 50, -0.1), ("B", 2021, None, None)], "ticker string, fiscal_year int, reporting_lag_days int, excess_return double")
+    p = features.profile(store).first()
+    assert (p.n_rows, p.n_companies, p.first_year, p.last_year, p.median_lag, p.n_target, p.positive_share) == (3, 2, 2020, 2021, 40.0, 2, 0.5)

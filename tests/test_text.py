@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tessera.functions import html_dom, stats, text
+from tessera.functions import html_dom, text
 from tessera.operators import claims, surfaces
 
 
@@ -34,11 +34,11 @@ def test_value_variants(spark):
     assert value(spark, text.value_variants(F.lit(None).cast("double"))) == []
 
 
-def test_medians_of_each_kind(spark):
-    a = F.array(*[F.lit(x) for x in (4, 1, 3, 2)])
-    assert value(spark, stats.upper_median(a)) == 3
-    assert value(spark, stats.index_percentile(a, 0.95)) == 4
-    assert value(spark, stats.upper_median(F.array().cast("array<int>"))) is None
+def test_refused_pages_take_the_native_form(spark):
+    df = spark.createDataFrame([(1, "<p>a b</p><p>c &amp; d</p><![foo[ x"), (2, "<p>fine</p>"), (3, None)], "id int, html string")
+    got = {r.id: r.x for r in df.select("id", html_dom.html_text(F.col("html")).alias("x")).collect()}
+    assert got[1].parser_used == "regex" and got[1].text.startswith("a b\nc & d") and got[1].n_words >= 5 and got[1].n_tables == 0
+    assert got[2].parser_used == "dom" and got[2].text == "fine" and got[3] is None
 
 
 def test_html_tables_comments_and_nesting():
@@ -133,3 +133,10 @@ def test_prompt_parts(spark):
     a = F.array(F.lit("x"), F.lit("y-chat"))
     assert value(spark, surfaces.first_available(F.array(F.lit("q")), a, lambda x: x.contains("chat"))) == "y-chat"
     assert value(spark, surfaces.merged(F.lit(None).cast("array<string>"), F.array(F.lit("e")))) == ["e"]
+    budget = spark.createDataFrame([(1.0, 2.0, 3), (2.0, 2.0, 3), (0.0, 2.0, 0), (None, 2.0, 1)], "spent double, budget double, n int")
+    assert [r[0] for r in budget.select(surfaces.may_write(F.col("spent"), F.col("budget"), F.col("n"))).collect()] == [True, False, False, False]
+
+
+def test_abstentions_have_no_confidence(spark):
+    df = spark.createDataFrame([("a", "no json")], "prompt_id string, reply string")
+    assert surfaces.parsed_replies(df, ["eps"]).first().confidence == 0.0
