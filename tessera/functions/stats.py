@@ -25,7 +25,6 @@ def order_statistics(rows: DataFrame, value: str, picks: dict[str, float], *by:
 
 
 def average_rank(value: str | Column, *group: str) -> Column:
-    """Rank from 1, ties sharing their mean, within the group."""
-    own = Window.partitionBy(*group)
-    ties = Window.partitionBy(*group, value)
-    return F.rank().over(own.orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
+    """Rank from 1, ties sharing their mean, within the group: one window gives a row's rank and the rows up to its ties."""
+    own = Window.partitionBy(*group).orderBy(value)
+    return (F.rank().over(own) + F.count(F.lit(1)).over(own)) / F.lit(2.0)

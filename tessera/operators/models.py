@@ -9,6 +9,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.stats import average_rank
+from ..sources.shared import new_folder
 
 ALPHA = 10.0
 MIN_TRAIN, MIN_TEST = 40, 5
@@ -73,7 +74,11 @@ class _Frame:
         self.holed = [k for k in range(p) if marks[f"null_{k}"]]
         keys = [c for c in rows.columns if c not in features and c != target]
         self.keys = keys
-        self.rows = rows.select(*keys, *[((F.col(c) - F.lit(self.shift[k])) / F.lit(self.scale[k])).alias(f"x{k}") for k, c in enumerate(features)], F.col(target).alias("y"))
+        # kept as a table: the study passes over it several times
+        path = new_folder(frame.sparkSession, "study")
+        scaled = rows.select(*keys, *[((F.col(c) - F.lit(self.shift[k])) / F.lit(self.scale[k])).alias(f"x{k}") for k, c in enumerate(features)], F.col(target).alias("y"))
+        scaled.write.parquet(path)
+        self.rows = frame.sparkSession.read.schema(scaled.schema).parquet(path)
         self.values = [F.lit(1.0)] + [F.coalesce(f"x{k}", F.lit(0.0)) for k in range(p)] + [F.col(f"x{k}").isNull().cast("double") for k in range(p)]
 
     def sums(self) -> dict[int, np.ndarray]:
@@ -171,11 +176,13 @@ def walk_forward(frame: DataFrame, features: list[str], target: str, year: str =
     slots = "".join(f", {n}{k} double" for n in "am" for k in range(p))
     models = spark.createDataFrame(rows, f"fold int, n_train int, base double, coefficients map<string,double>, c0 double{slots}")
     tested = _predicted(own, own.rows.withColumn("fold", F.col(year).cast("int")), models, "fold").select("fold", "n_train", "base", "predicted", "y", (F.col("y") > 0).cast("int").alias("up"))
+    ranked = tested.withColumns({"rp": average_rank("predicted", "fold"), "ry": average_rank("y", "fold")})
     off = lambda x: F.sqrt(F.avg(F.pow(F.col(x) - F.col("y"), 2)))
-    errors = tested.groupBy("fold").agg(F.first("n_train").alias("n_train"), F.count("*").cast("int").alias("n_test"), off("predicted").alias("rmse"), off("base").alias("baseline_rmse"))
-    scores = spearman(tested, "predicted", "y", "fold").join(rank_auc(tested, "predicted", "up", "fold"), "fold")
-    out = errors.join(scores, "fold").join(F.broadcast(models.select("fold", "coefficients")), "fold")
-    return out.select("fold", "n_train", "n_test", "ic", "auc", "rmse", "baseline_rmse", "coefficients")
+    n, up = F.count("*"), F.sum("up")
+    some = (n > 2) & (F.min("predicted") < F.max("predicted")) & (F.stddev_pop("ry") > 0)
+    auc = F.try_divide(F.sum(F.when(F.col("up") == 1, F.col("rp"))) - up * (up + 1) / F.lit(2.0), up * (n - up))
+    out = ranked.groupBy("fold").agg(F.first("n_train").alias("n_train"), n.cast("int").alias("n_test"), F.when(some, F.corr("rp", "ry")).alias("ic"), auc.alias("auc"), off("predicted").alias("rmse"), off("base").alias("baseline_rmse"))
+    return out.join(F.broadcast(models.select("fold", "coefficients")), "fold").select("fold", "n_train", "n_test", "ic", "auc", "rmse", "baseline_rmse", "coefficients")
 
 
 def walk_forward_trees(frame: DataFrame, features: list[str], target: str, year: str = "fiscal_year", min_train: int = MIN_TRAIN, **settings) -> DataFrame:

@@ -55,8 +55,7 @@ def _index(spark, d):
 
     def write(folder):
         docs = spread(table(spark, d, "documents").select("doc_id", "text"))
-        re_.term_counts(docs, "doc_id", "text").write.mode("overwrite").parquet(f"{folder}/counts")
-        src.write_lexical_index(re_.lexical_index(spark.read.parquet(f"{folder}/counts")), folder)
+        src.write_lexical_index(re_.term_counts(docs, "doc_id", "text"), folder)
 
     return src.read_lexical_index(spark, stored(spark, "lexical", f"{d}/documents.parquet", write))
 
@@ -99,6 +98,12 @@ def _qrels(spark, d):
     return found
 
 
+@query("WITH " + BM25_SQL + "done AS (SELECT 1) SELECT term, round(idf, 6) AS idf FROM terms")
+def bm25_index(spark, d):
+    """The index's terms with their weights."""
+    return _index(spark, d).terms.select("term", F.round("idf", 6).alias("idf"))
+
+
 @query("WITH " + BM25_SQL + """ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored)
 SELECT query_id AS item_id, rank::INTEGER AS rank, id AS doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10""")
 def bm25_topk(spark, d):

@@ -107,9 +107,12 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("ticker", F.to_date("date").alias("date"), F.col("close").cast("double").alias("close"))
 
 
-def write_lexical_index(index, path: str) -> None:
-    """The BM25 tables."""
-    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
+def write_lexical_index(counts: DataFrame, path: str) -> None:
+    """The BM25 tables of term counts (retrieval.term_counts): the counts themselves, then terms and scale from what was written."""
+    from ..operators.retrieval import lexical_index
+
+    counts.write.mode("overwrite").parquet(f"{path}/postings")
+    index = lexical_index(counts.sparkSession.read.schema(counts.schema).parquet(f"{path}/postings"))
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     index.scale.write.mode("overwrite").parquet(f"{path}/scale")
 

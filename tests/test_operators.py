@@ -292,7 +292,7 @@ def test_indexes_are_stored_and_upserted(spark, tmp_path):
     docs = spark.createDataFrame([(1, "net sales 391,035 391,035"), (2, "cost of sales"), (3, None), (4, "")], "id int, text string")
     counts = {r.id: (r.length, {c.term: c.tf for c in r.counts}) for r in retrieval.term_counts(docs, "id", "text").collect()}
     assert counts == {1: (4, {"net": 1, "sales": 1, "391,035": 2}), 2: (3, {"cost": 1, "of": 1, "sales": 1}), 3: (0, {}), 4: (0, {})}
-    src.write_lexical_index(retrieval.lexical_index(retrieval.term_counts(docs, "id", "text")), str(tmp_path / "lexical"))
+    src.write_lexical_index(retrieval.term_counts(docs, "id", "text"), str(tmp_path / "lexical"))
     index = src.read_lexical_index(spark, str(tmp_path / "lexical"))
     asked = spark.createDataFrame([("q", "what of 391,035")], "query_id string, question string")
     assert [r.id for r in retrieval.lexical_search(index, asked, 1).collect()] == [1]
