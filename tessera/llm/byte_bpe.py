@@ -4,7 +4,9 @@ Long texts are cut where a match of the splitting pattern must begin: between a
 character that is no white space and a space or line feed. No alternative of the
 pattern holds white space after another character, so the ids are those of the
 whole text. Decoding joins the raw bytes of the ids; a token may end inside a
-character, so text is only made from the joined bytes.
+character, so text is only made from the joined bytes. A stretch of white space too long
+for the library's splitter, whose stack it exhausts, is split by the `regex` module, which
+reads the same pattern, and its pieces are encoded one by one.
 
 Defined cases: null texts count as empty (no ids, digests of no bytes); null and
 repeated ids pass through row by row; an empty table gives an empty result; other
@@ -19,6 +21,7 @@ import re
 from functools import cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from .common import bounded_batches
@@ -26,6 +29,13 @@ from .common import bounded_batches
 #: Characters after which a long text is cut at the next safe boundary.
 CHUNK_CHARS = 1 << 16
 _BOUNDARY = re.compile(r"\S(?=[ \n])")
+#: White space in a row that the library's splitter may not bear (it breaks off at about a million).
+_LONG_BLANK = re.compile(r"\s{100000}")
+
+
+@cache
+def splitter(pattern: str):
+    return regex.compile(pattern)
 
 
 @cache
@@ -57,7 +67,11 @@ def encode(text: str | None, rank_file: str, pattern: str) -> list[int]:
     encoder = codec(rank_file, pattern)[0]
     ids: list[int] = []
     for part in safe_chunks(text or ""):
-        ids += encoder.encode_ordinary(part)
+        if _LONG_BLANK.search(part):
+            for piece in splitter(pattern).findall(part):
+                ids += encoder._core_bpe.encode_single_piece(piece.encode())
+        else:
+            ids += encoder.encode_ordinary(part)
     return ids
 
 

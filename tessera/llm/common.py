@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..sources.shared import shared_dir
 
 #: Bytes of one Arrow batch sent to Python, so that very long texts do not pile up in a worker.
 ARROW_BATCH_BYTES = 16 << 20
@@ -22,12 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.environ.get("TESSERA_SHARED_DIR") or os.path.join(tempfile.gettempdir(), "checkpoints")
-    return folder.rstrip("/")
+def text_hash() -> list[Column]:
+    """h1 and h2: 128 bits of a text; a null one is empty."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(17), text).alias("h2")]
+
+
+#: A key that holds more than one in so many rows is joined apart from the rest.
+HOT_SHARE = 200
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows joined to keyed, which has a row a key and `n`, about how many of the `total` rows hold it.
+
+    Keys of over one in HOT_SHARE rows, a few hundred at most, are broadcast, so that no
+    key's rows gather in a task; the rest meets by shuffle. Both tables are read twice.
+    """
+    bound = max(1, total // HOT_SHARE)
+    hot, rest = keyed.where(F.col("n") > bound).drop("n"), keyed.where(F.col("n") <= bound).drop("n")
+    here = rows.join(F.broadcast(hot), on)
+    return here.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on).select(*here.columns))
+
+
+def parts_of(n: int, per: int) -> int:
+    """How many tasks n rows make, `per` rows to a task."""
+    return max(1, math.ceil(n / per))
 
 
 class Stage:

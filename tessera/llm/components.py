@@ -1,10 +1,10 @@
 """Connected components of a link table, by rounds of large-star and small-star.
 
 Each round hangs the neighbours of a node on its smallest neighbour. Both halves take
-a minimum by node, which is summed before it is shuffled, and join it back, which
-adaptive execution splits where one node has many links. No list of neighbours is
-ever formed. Rounds end when the links no longer change; their number grows as the
-logarithm of the largest component.
+a minimum by node, which is summed before it is shuffled, and join it back; nodes with
+a good share of all links (a hub of near copies) are joined by broadcast, of which
+there are a few hundred at most. No list of neighbours is ever formed. Rounds end when
+the links no longer change; their number grows as the logarithm of the largest component.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Stage
+from .common import Stage, hot_join
 
 #: Links that one task thins at a time.
 THINNED_LINKS = 1 << 19
@@ -63,20 +63,22 @@ def connected_components(links: DataFrame, stage: Stage) -> DataFrame:
     """node long, component long (the smallest node reachable), for nodes with links. links: u long, v long."""
     thin = links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_thin, "u long, v long")
     now = stage.write(thin.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
-    while True:
+    total, state = now.count(), None
+    while total:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        low = stage.write(both.groupBy("u").agg(F.least("u", F.min("v")).alias("low"), F.count("*").alias("n")))
+        # roots keep their links as they are: their low is themselves
+        flipped = now.select(F.col("v").alias("u"), F.col("u").alias("far"))
+        large = stage.write(hot_join(flipped, low, ["u"], total).select(F.col("far").alias("u"), F.col("low").alias("v")).where("u <> v").distinct())
         # now every link goes from the larger to the smaller node
-        large = stage.write(large.where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("x"))
+        least = stage.write(large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")))
+        small = hot_join(large, least, ["u"], total).select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("x"))
         after = stage.write(small.select("x.u", "x.v").where("u <> v").distinct())
-        stage.drop(now)
-        stage.drop(large)
+        for old in (now, low, large, least):
+            stage.drop(old)
         now = after
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if seen == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = seen
+            break
+        total, state = seen[0], seen
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

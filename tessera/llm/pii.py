@@ -21,7 +21,7 @@ result; other columns are passed by or, in redact(), kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Stage
 
@@ -114,6 +114,9 @@ def _tokens(text: Column) -> Column:
     return F.transform(spans, lambda s, i: F.struct(s["value"].alias("value"), s["first"].alias("first"), s["last"].alias("last"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after")))
 
 
+_TOKEN = "struct<value:string,first:int,last:int,before:string,after:string>"
+
+
 def instances(docs: DataFrame) -> DataFrame:
     """One row a candidate of each distinct text: key, value, first, last, kind (null if in no base span), patterns.
 
@@ -121,11 +124,15 @@ def instances(docs: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     texts = docs.where(text.rlike("[0-9@]")).select(_text_key(text).alias("key"), base_spans(text).alias("spans"), _tokens(text).alias("tokens"))
-    rows = texts.dropDuplicates(["key"]).select("key", "spans", F.explode("tokens").alias("t"))
-    over = F.get(F.filter("spans", lambda s: (s["first"] < F.col("t.last")) & (F.col("t.first") < s["last"])), F.lit(0))
-    rows = rows.withColumn("span", over).where("span IS NULL OR t.first <= span.first")
-    left = F.lower(F.regexp_extract(F.col("t.before"), r"(\S++)\s++$", 1))
-    left2 = F.lower(F.regexp_replace(F.regexp_extract(F.right(F.col("t.before"), F.lit(80)), r"(?<!\S)(\S+\s+\S+)\s+$", 1), r"\s+", " "))
+    # tokens and spans of a text in one order: a token meets the span that reaches furthest of those begun before its end
+    token = F.transform("tokens", lambda t: F.struct((t["last"] - 1).alias("at"), t.alias("t"), F.lit(None).cast("struct<last:int,first:int,kind:string,value:string>").alias("s")))
+    span = F.transform("spans", lambda s: F.struct(s["first"].alias("at"), F.lit(None).cast(_TOKEN).alias("t"), F.struct(s["last"].alias("last"), s["first"].alias("first"), s["kind"].alias("kind"), s["value"].alias("value")).alias("s")))
+    events = texts.dropDuplicates(["key"]).select("key", F.inline(F.concat(span, token)))
+    upto = Window.partitionBy("key").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = events.withColumn("reach", F.max("s").over(upto)).where("t IS NOT NULL")
+    rows = rows.withColumn("span", F.when(F.col("reach.last") > F.col("t.first"), F.col("reach"))).where("span IS NULL OR t.first <= span.first")
+    left = F.lower(F.regexp_extract(F.col("t.before"), r"(?<!\S)(\S++)\s++$", 1))
+    left2 = F.lower(F.regexp_replace(F.regexp_extract(F.col("t.before"), r"(?<!\S)(\S++\s++\S++)\s++$", 1), r"\s+", " "))
     # the words behind a span are known where its first token is its last one
     right = F.when(F.col("span").isNull() | (F.col("t.last") >= F.col("span.last")), F.lower(F.regexp_extract("t.after", r"^\s++(\S++)", 1))).otherwise("")
     found = F.array(F.when(left2 != "", F.concat(F.lit("< "), left2)), F.when((left != "") & (right != ""), F.concat(F.lit("<> "), left, F.lit(" "), right)))
@@ -164,29 +171,59 @@ def discover(tokens: DataFrame, stage: Stage, confidence: float = CONFIDENCE, mi
 
 
 def discovered_spans(docs: DataFrame) -> DataFrame:
-    """key, found: what contexts add to the base spans of each text."""
+    """key, found (kind, first, last): what contexts add to the base spans of each text."""
     stage = Stage(docs.sparkSession, "pii")
     tokens = stage.write(instances(docs))
     new = tokens.where(F.col("kind").isNull()).drop("kind").join(discover(tokens, stage), "value")
-    span = F.struct("kind", "first", "last", "value")
-    return stage.write(new.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("found")))
+    return stage.write(new.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "first", "last"))).alias("found")))
 
 
 def _bytes(df: DataFrame) -> int:
+    """Of kinds and numbers alone, so that a length bounds a row's bytes."""
     return df.agg(F.coalesce(F.sum(F.size("found") * 64 + 64), F.lit(0))).first()[0]
 
 
-def with_spans(docs: DataFrame, name: str = "spans") -> DataFrame:
-    """docs with its spans (kind, first, last, value) by kind as listed, then first, then last."""
+_PLACED = "array<struct<kind:string,first:int,last:int>>"
+
+
+def spanned(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), base and spans: kind, first and last of the base spans, and of all, by kind as listed, then first, then last.
+
+    The columns of docs stay packed, whatever their names.
+    """
     found = discovered_spans(docs)
     if _bytes(found) <= BROADCAST_BYTES:
         found = F.broadcast(found)
-    key, more = f"{name}_key", f"{name}_more"
-    keyed = docs.withColumn(key, F.coalesce(_text_key(F.col("text")), F.struct(F.xxhash64(*[c for c in ("doc_id",) if c in docs.columns]).alias("a"), F.lit(None).cast("int").alias("b"), F.lit(None).cast("int").alias("c"))))
-    out = keyed.join(found.select(F.col("key").alias(key), F.col("found").alias(more)), key, "left")
+    text = F.col("text")
+    # rows without candidates meet nothing; the nulls of their key are spread
+    key = F.coalesce(_text_key(text), F.struct(F.xxhash64(F.monotonically_increasing_id()).alias("a"), F.lit(None).cast("int").alias("b"), F.lit(None).cast("int").alias("c")))
+    short = F.transform(base_spans(text), lambda s: F.struct(s["kind"].alias("kind"), s["first"].alias("first"), s["last"].alias("last")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), short.alias("base"))
+    out = packed.join(found, "key", "left")
     order = F.array(*[F.lit(k) for k in KINDS])
-    both = F.array_sort(F.transform(F.concat(base_spans(F.col("text")), F.coalesce(F.col(more), F.array().cast(f"array<{_SPAN}>"))), lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["first"].alias("first"), s["last"].alias("last"), s["kind"].alias("kind"), s["value"].alias("value"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.transform(both, lambda s: F.struct(s["kind"].alias("kind"), s["first"].alias("first"), s["last"].alias("last"), s["value"].alias("value"))).alias(name))
+    more = F.coalesce("found", F.array().cast(_PLACED))
+    ranked = F.array_sort(F.transform(F.concat("base", more), lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["first"].alias("first"), s["last"].alias("last"), s["kind"].alias("kind"))))
+    spans = F.when(F.size(more) == 0, F.col("base")).otherwise(F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["first"].alias("first"), s["last"].alias("last"))))
+    return out.select("row", "base", spans.alias("spans"))
+
+
+def with_spans(docs: DataFrame, name: str = "spans") -> DataFrame:
+    """docs with its spans (kind, first, last); a column of that name is replaced."""
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != name.lower()]
+    return spanned(docs).select(*kept, F.col("spans").alias(name))
+
+
+def redacted_documents(docs: DataFrame) -> DataFrame:
+    """docs with personal data in `text` replaced by [KIND]; n_chars, if there, follows the text and stays null where it was."""
+    found = spanned(docs).withColumn("shown", redacted(F.col("row").getField("text"), F.col("spans")))
+
+    def column(c: str) -> Column:
+        own = F.col("row").getField(c)
+        if c == "text":
+            return F.col("shown").alias(c)
+        return F.when(own.isNotNull(), F.length("shown").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else own.alias(c)
+
+    return found.select(*[column(c) for c in docs.columns])
 
 
 def _written(spans: Column) -> Column:
@@ -199,10 +236,9 @@ def _count(spans: str, kind: str) -> Column:
 
 def pii_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    found = with_spans(docs.select("doc_id", "text"))
-    found = found.select("doc_id", base_spans(F.col("text")).alias("base"), "spans")
+    found = spanned(docs.select("doc_id", "text"))
     counts = [_count("base", k).alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

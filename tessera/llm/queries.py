@@ -92,16 +92,22 @@ WITH calls AS (
              WHEN o.text = '' THEN 'too short ' || CASE o.role WHEN 'user' THEN 'prompt' ELSE 'policy' END
              ELSE '' END AS errors
     FROM one o FULL JOIN answers a ON o.conv_id = a.conv_id AND o.call_id = a.call_id
+), islands AS (
+    SELECT call_id AS own, conv_id AS conv, turn AS t, role = 'user' AND turn >= 2 AND EXISTS (SELECT 1 FROM one b WHERE b.conv_id = o.conv_id AND b.turn = o.turn - 2) AS chained FROM one o
+), marked AS (
+    SELECT *, sum(CASE WHEN chained THEN 0 ELSE 1 END) OVER (PARTITION BY conv, t % 2 ORDER BY t) AS island FROM islands
+), levels AS (
+    SELECT own, conv, row_number() OVER (PARTITION BY conv, t % 2, island ORDER BY t) - 1 AS level FROM marked
 )
 SELECT conv_id, coalesce(turn, result_turn) AS turn, call_id, tool,
     CASE WHEN copies IS NULL THEN 'orphan' WHEN errors <> '' THEN 'invalid' WHEN answers IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
-    CASE WHEN copies IS NOT NULL THEN 0 END::INTEGER AS level,
+    CASE WHEN copies IS NOT NULL THEN level END::INTEGER AS level,
     coalesce(copies, answers) AS copies, coalesce(errors, '') AS errors,
     '{"arguments":' || CASE WHEN copies IS NULL THEN 'null'
-        WHEN role = 'user' THEN '{"prompt":' || to_json(text)::VARCHAR || ',"turn":' || turn::VARCHAR || '}'
+        WHEN role = 'user' THEN '{' || CASE WHEN turn >= 2 THEN '"context":{"$result":' || to_json(conv_id || ':' || (turn - 2)::VARCHAR)::VARCHAR || '},' ELSE '' END || '"prompt":' || to_json(text)::VARCHAR || ',"turn":' || turn::VARCHAR || '}'
         ELSE '{"policy":' || to_json(text)::VARCHAR || '}' END
-    || ',"id":' || to_json(call_id)::VARCHAR || ',"level":' || CASE WHEN copies IS NULL THEN 'null' ELSE '0' END
+    || ',"id":' || to_json(call_id)::VARCHAR || ',"level":' || CASE WHEN copies IS NULL THEN 'null' ELSE level::VARCHAR END
     || ',"name":' || coalesce(to_json(tool)::VARCHAR, 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS message
-FROM linked
+FROM linked LEFT JOIN levels ON own = call_id AND conv = conv_id AND copies IS NOT NULL
 """,
 }

@@ -7,6 +7,8 @@ Spark's `shuffle` (a Fisher-Yates permutation in the JVM, seeded by seed + bucke
 and lays the buckets end to end; position p goes to shard p mod n, slot p div n.
 Counts of shards hence differ by one at most.
 
+Map columns, which cannot be grouped, go through the first shuffle as their sorted entries.
+
 Defined cases: a null text has size 8 and the CRC of no bytes (0); null ids and
 repeated rows are ordinary rows, each copy with a place of its own; an empty table
 gives an empty result. A row that makes up a third of the table is one counted row
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import MapType
 
 from .common import Stage
 
@@ -31,8 +34,9 @@ RECORD_OVERHEAD = 64
 def two_pass_shuffle(records: DataFrame, weight, n_shards: int = N_SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The columns of `records` with shard int and slot long. weight: column, bytes of a record."""
     stage = Stage(records.sparkSession, "shard")
-    names = records.columns
-    packed = records.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("record"), weight.cast("long").alias("weight"))
+    maps = {f.name for f in records.schema.fields if isinstance(f.dataType, MapType)}
+    own = [(F.array_sort(F.map_entries(F.col(f"`{c}`"))) if c in maps else F.col(f"`{c}`")).alias(c) for c in records.columns]
+    packed = records.select(F.struct(*own).alias("record"), weight.cast("long").alias("weight"))
     counted = stage.write(packed.groupBy("record", "weight").agg(F.count("*").alias("copies")))
     total = counted.agg(F.sum((F.col("weight") + RECORD_OVERHEAD) * F.col("copies"))).first()[0] or 0
     n_buckets = max(1, math.ceil(total / bucket_bytes))
@@ -45,7 +49,8 @@ def two_pass_shuffle(records: DataFrame, weight, n_shards: int = N_SHARDS, seed:
     mixed = mixed.select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
     placed = mixed.join(ends, "bucket").select("first", F.posexplode("rows").alias("at", "row"))
     placed = placed.select("row", (F.col("first") + F.col("at")).alias("place"))
-    return placed.select("row.record.*", (F.col("place") % n_shards).cast("int").alias("shard"), F.expr(f"place div {n_shards}").alias("slot"))
+    fields = [(F.map_from_entries(F.col("row.record").getField(c)) if c in maps else F.col("row.record").getField(c)).alias(c) for c in records.columns]
+    return placed.select(*fields, (F.col("place") % n_shards).cast("int").alias("shard"), F.expr(f"place div {n_shards}").alias("slot"))
 
 
 def write_shards(records: DataFrame, path: str, n_shards: int = N_SHARDS, seed: int = SEED) -> None:
@@ -55,9 +60,16 @@ def write_shards(records: DataFrame, path: str, n_shards: int = N_SHARDS, seed:
     placed.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("slot").write.partitionBy("shard").parquet(path)
 
 
+def place_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
+    """Whole rows of docs with shard and slot, in names that clash with none of theirs: record (all columns), shard, slot."""
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    text = F.col(f"c{docs.columns.index('text')}")
+    placed = two_pass_shuffle(plain, F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(8), n_shards, seed)
+    return placed.select(F.struct(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)]).alias("record"), "shard", "slot")
+
+
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, text_crc32, law 'rows', shard, slot, grown_shard (null under this law)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keys = docs.select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = two_pass_shuffle(keys, F.col("size"), n_shards, seed)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """doc_id, size, text_crc32, law 'rows', shard, slot, grown_shard (null under this law), told from the placed rows."""
+    text = F.coalesce(F.col("record.text"), F.lit(""))
+    placed = place_documents(docs, n_shards, seed)
+    return placed.select("record.doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Stage, bounded_batches
+from .common import Stage, bounded_batches, hot_join, parts_of, text_hash
 from .components import connected_components, star_forest
 
 RADIUS = 4
@@ -169,10 +169,18 @@ def _reached(planes: np.ndarray, print_: np.uint64, open_: np.ndarray, radius: i
     return words[hit[row]] * 64 + bit
 
 
-def links_of_block(prints: np.ndarray, radius: int, parted: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links, by number, that join what lies within the radius. parted: the first so many are only compared with the rest."""
+def links_of_block(prints: np.ndarray, radius: int, parted: int = 0, likely=None) -> tuple[np.ndarray, np.ndarray]:
+    """Links, by number, that join what lies within the radius. parted: the first so many are only compared with the rest.
+
+    likely(number, numbers): which of those within the radius may link.
+    """
     planes = bit_planes(prints)
-    return breadth_first(len(prints), parted, lambda at, sought: _reached(planes, prints[at], sought, radius))
+
+    def reach(at, sought):
+        found = _reached(planes, prints[at], sought, radius)
+        return found if likely is None or not len(found) else found[likely(at, found)]
+
+    return breadth_first(len(prints), parted, reach)
 
 
 def breadth_first(n: int, parted: int, reach) -> tuple[np.ndarray, np.ndarray]:
@@ -199,8 +207,11 @@ def breadth_first(n: int, parted: int, reach) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _bucket_links(key: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int):
-    """Links, by row, of a sorted run of whole units. side: 2 in a unit compared within itself, else 0 or 1."""
+def _bucket_links(key: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int, likely=None):
+    """Links, by row, of a sorted run of whole units. side: 2 in a unit compared within itself, else 0 or 1.
+
+    likely: which of two lists of rows, pair by pair, may link, for what is within the radius.
+    """
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(key)]]))
     for size in range(2, SMALL_BUCKET + 1):
@@ -214,12 +225,17 @@ def _bucket_links(key: np.ndarray, side: np.ndarray, prints: np.ndarray, radius:
             meet = (side[x] == 2) | (side[x] != side[y])
             x, y = x[meet], y[meet]
             near = _pairs_within(prints[x], prints[y], radius)
-            yield x[near], y[near]
+            x, y = x[near], y[near]
+            if likely is not None:
+                kept = likely(x, y)
+                x, y = x[kept], y[kept]
+            yield x, y
     for start, size in zip(starts[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET]):
         own, part = prints[start : start + size], side[start : start + size]
         order, first = np.argsort(part, kind="stable"), int((part == 0).sum())
         if part[0] == 2 or 0 < first < size:
-            a, b = links_of_block(own[order], radius, 0 if part[0] == 2 else first)
+            among = None if likely is None else lambda at, new: likely(np.full(len(new), start + order[at]), start + order[new])  # noqa: B023
+            a, b = links_of_block(own[order], radius, 0 if part[0] == 2 else first, among)
             yield start + order[a], start + order[b]
 
 
@@ -235,28 +251,43 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def crowded(rows: DataFrame, stage: Stage) -> DataFrame:
+    """rows whose bucket holds another row, with n, the bucket's rows. rows: a table with `bucket`."""
+    sizes = stage.write(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("rows", F.col("n")))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return stage.write(hot_join(rows, sizes, ["bucket"], total).withColumnRenamed("rows", "n"))
+
+
 def _units(rows: DataFrame, split: int, *carried: str) -> DataFrame:
-    """unit, side and the carried columns of rows with a bucket; buckets beyond `split` rows become pairs of blocks."""
-    hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > split)
-    hot = hot.select("bucket", F.ceil(F.col("n") / split).cast("int").alias("blocks"))
-    dealt = rows.join(hot, "bucket", "left")
-    own = F.pmod(F.xxhash64(carried[0], F.lit(7)), F.col("blocks")).cast("int")
+    """unit, side and the carried columns of rows with bucket and n; buckets beyond `split` rows become pairs of blocks."""
+    blocks = F.ceil(F.col("n") / split).cast("int")
+    own = F.pmod(F.xxhash64(carried[0], F.lit(7)), blocks).cast("int")
+    placed = rows.withColumns({"_blocks": blocks, "_own": own})
     meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.xxhash64("bucket", F.least(k, own), F.greatest(k, own)).alias("unit"), F.when(k == own, 2).when(k > own, 0).otherwise(1).alias("side")),
+        F.sequence(F.lit(0), F.col("_blocks") - 1),
+        lambda k: F.struct(F.xxhash64("bucket", F.least(k, F.col("_own")), F.greatest(k, F.col("_own"))).alias("unit"), F.when(k == F.col("_own"), 2).when(k > F.col("_own"), 0).otherwise(1).alias("side")),
     )
     alone = F.array(F.struct(F.col("bucket").alias("unit"), F.lit(2).alias("side")))
-    return dealt.select(*carried, F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meets)).alias("x")).select("x.unit", "x.side", *carried)
+    return placed.select(*carried, F.explode(F.when(F.col("_blocks") <= 1, alone).otherwise(meets)).alias("x")).select("x.unit", "x.side", *carried)
 
 
-def _links_in_units(units: DataFrame, radius: int) -> DataFrame:
-    """u, v: links of node long by its fp long, a forest in each run of units. units: unit, side, node, fp."""
+#: Rows of units that one task takes.
+TASK_ROWS = 1 << 20
+
+
+def _links_in_units(units: DataFrame, radius: int, tasks: int, agree: int = 0) -> DataFrame:
+    """u, v: links of node long by its fp long, a forest in each run of units. units: unit, side, node, fp, and where `agree` is given the node's signs.
+
+    signs: bytes of 16-bit min-hashes; pairs within the radius link if `agree` of them are equal.
+    """
 
     def run(batches):
         held = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+                if agree:
+                    now.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(batch.num_rows, -1))
                 held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
                 if len(held[0]) < 1 << 18:
                     continue
@@ -264,9 +295,10 @@ def _links_in_units(units: DataFrame, radius: int) -> DataFrame:
                 continue
             # the last unit may go on in the next batch
             end = len(held[0]) if batch is None else int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if held[0][0] != held[0][-1] else 0
-            key, side, node, prints = (x[:end] for x in held)
+            key, side, node, prints = (x[:end] for x in held[:4])
+            likely = (lambda x, y: (held[4][x] == held[4][y]).sum(axis=1) >= agree) if agree else None  # noqa: B023
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for x, y in _bucket_links(key, side, prints.view(np.uint64), radius) if end else ():
+            for x, y in _bucket_links(key, side, prints.view(np.uint64), radius, likely) if end else ():
                 a.append(node[x])
                 b.append(node[y])
             u, v = np.concatenate(a), np.concatenate(b)
@@ -275,79 +307,91 @@ def _links_in_units(units: DataFrame, radius: int) -> DataFrame:
             held = [x[end:] for x in held]
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long")
+    return units.repartition(tasks, "unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long")
 
 
 def link_fingerprints(prints: DataFrame, stage: Stage, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """u, v: links of distinct fingerprints, enough to join all within the radius. prints: distinct fp long."""
     masks = F.array(*[F.lit(_signed(m)) for m in block_masks(radius)])
     rows = prints.select("fp", F.posexplode(masks).alias("t", "mask")).select("fp", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
-    units = _units(rows, bucket_rows, "fp").select("unit", "side", F.col("fp").alias("node"), "fp")
-    return stage.write(_links_in_units(units, radius))
+    near = crowded(rows, stage)
+    units = _units(near, bucket_rows, "fp").select("unit", "side", F.col("fp").alias("node"), "fp")
+    return stage.write(_links_in_units(units, radius, parts_of(near.count(), TASK_ROWS)))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     stage = Stage(docs.sparkSession, "simhash")
     prints = stage.write(with_fingerprints(docs, words))
-    reps = stage.write(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    reps = stage.write(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     component = connected_components(link_fingerprints(reps.select("fp"), stage, radius), stage)
-    named = reps.join(component.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_print = stage.write(named.join(least, "component").select("fp", "component_id"))
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = reps.join(component.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("component"))
+    return _with_component(prints, stage.write(named), ["fp"], stage).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near-duplicates by similarity: words to a shingle, the similarity, the radius within
-#: which such texts' fingerprints lie, and min-hashes that bring them into one bucket.
+def _with_component(rows: DataFrame, named: DataFrame, on: list[str], stage: Stage) -> DataFrame:
+    """rows with component_id, the least rep of the component. named: on, rep, n (rows of the key) and component of each key."""
+    least = stage.write(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("keys")).withColumnRenamed("keys", "n"))
+    total = named.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    keyed = stage.write(hot_join(named.withColumnRenamed("n", "rows"), least, ["component"], total[0]).select(*on, "component_id", F.col("rows").alias("n")))
+    return hot_join(rows, keyed, on, total[1])
+
+
+#: For near-duplicates by similarity: words to a shingle; the cosine of two texts' sets of shingles, which is
+#: what SimHash bits estimate, from which on they are similar; the radius within which the fingerprints of
+#: such texts lie; and the min-hashes that bring them into one bucket.
 SIMILAR_WORDS, SIMILARITY, SIMILAR_RADIUS = 5, 0.8, 24
-BANDS, BAND_ROWS = 10, 2
+BANDS, BAND_ROWS = 16, 2
+#: Of all min-hashes, how many agree at least in a pair that is looked at (20 of 32 are expected at the similarity).
+AGREE = 11
 #: Texts of up to so many distinct shingles are compared by their shingles in the buckets.
 FEW_SHINGLES = 80
 #: Texts of a candidate component that are compared in one unit.
 COMPONENT_ROWS = 256
 
 
-def _band_keys(hashes: np.ndarray) -> list[int]:
-    """A key for each band of min-hashes; texts without shingles have none."""
-    if not len(hashes):
-        return []
+def _mixers() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(23)
-    a = rng.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+    return rng.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+
+
+def _least_hashes(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The min-hashes of a text's shingle hashes."""
     mixed = hashes ^ (hashes >> np.uint64(32))
     least = np.full(len(a), _ONES)
     for at in range(0, len(mixed), 1 << 14):
         least = np.minimum(least, (a[:, None] * mixed[None, at : at + (1 << 14)] + b[:, None]).min(axis=1))
+    return least
+
+
+def _band_keys(least: np.ndarray) -> np.ndarray:
     rows = least.reshape(BANDS, BAND_ROWS)
-    keys = rows[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ (rows[:, 1] >> np.uint64(7)) + np.arange(BANDS, dtype=np.uint64)
-    return keys.view(np.int64).tolist()
+    return (rows[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ (rows[:, 1] >> np.uint64(7)) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node, fp, bands and few of each row. node: hash of the text; few: its distinct shingles, null beyond FEW_SHINGLES."""
-    bounded_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _sketches(rows: DataFrame) -> DataFrame:
+    """row, h1, h2 (128 bits of the text), fp, bands, signs and few of each row. few: its distinct shingles, null beyond FEW_SHINGLES."""
+    bounded_batches(rows.sparkSession)
 
     def run(batches):
+        a, b = _mixers()
         for batch in batches:
-            prints, bands, few = [], [], []
-            for text in batch.column(2):
+            prints, bands, signs, few = [], [], [], []
+            for text in batch.column(3):
                 hashes = np.unique(shingle_hashes(text.as_py(), SIMILAR_WORDS))
                 prints.append(print_of(hashes))
-                bands.append(_band_keys(hashes))
-                few.append(hashes.view(np.int64).tolist() if len(hashes) <= FEW_SHINGLES else None)
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (bands, few)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), *lists], names=["doc_id", "node", "fp", "bands", "few"])
-
-    return docs.select("doc_id", _node(), "text").mapInArrow(run, f"doc_id {kind}, node long, fp long, bands array<long>, few array<long>")
+                least = _least_hashes(hashes, a, b)
+                # texts without shingles are similar to nothing
+                bands.append(_band_keys(least) if len(hashes) else np.zeros(0, np.int64))
+                signs.append((least >> np.uint64(40)).astype(np.uint16).tobytes())
+                few.append(hashes.view(np.int64) if len(hashes) <= FEW_SHINGLES else None)
+            lists = [pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary()), pa.array(few, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(np.array(prints, np.uint64).view(np.int64)), *lists], names=["row", "h1", "h2", "fp", "bands", "signs", "few"])
 
+    return rows.select("row", *text_hash(), "text").mapInArrow(run, "row long, h1 long, h2 long, fp long, bands array<long>, signs binary, few array<long>")
 
-def _node():
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("node")
 
-
-def _similar_links(units: DataFrame, similarity: float) -> DataFrame:
+def _similar_links(units: DataFrame, similarity: float, tasks: int) -> DataFrame:
     """u, v: links of nodes whose shingle sets are similar enough. units: unit, side, node, and text or distinct shingles."""
 
     def links(rows):
@@ -368,7 +412,8 @@ def _similar_links(units: DataFrame, similarity: float) -> DataFrame:
             shared = np.add.reduceat(marks[ids], starts)
             marks[own] = 0
             open_ = np.unpackbits(sought.view(np.uint8), bitorder="little")[: len(rows)] > 0
-            return np.flatnonzero(open_ & (shared >= similarity * (sizes + sizes[at] - shared)))
+            # the cosine of two sets, without a root
+            return np.flatnonzero(open_ & (shared * shared >= similarity**2 * sizes * sizes[at] * (1 - 1e-12)))
 
         parted = 0 if rows[0][0] == 2 else sum(r[0] == 0 for r in rows)
         if rows[0][0] != 2 and not 0 < parted < len(rows):
@@ -391,38 +436,121 @@ def _similar_links(units: DataFrame, similarity: float) -> DataFrame:
                     held.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long")
+    return units.repartition(tasks, "unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long")
+
 
+def _verified(members: DataFrame, texts: DataFrame, stage: Stage, similarity: float, component_rows: int) -> DataFrame:
+    """u, v: links of similar texts, enough to join all that are linked within each candidate component.
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, bucket_rows: int = BUCKET_ROWS, component_rows: int = COMPONENT_ROWS) -> DataFrame:
-    """doc_id, component_id: texts joined by links of that similarity of five-word shingle sets.
+    members: node, bucket (the candidate component) and n; texts: node, text. First each
+    text goes out once, with its block of the component and the component's first text. What
+    that joins to the first text is known to be together and is not compared again: only
+    texts that it left apart meet the other blocks, and each other.
+    """
+
+    def linked(units):
+        units = stage.write(units)
+        return stage.write(_similar_links(units.join(texts, "node").select("unit", "side", "node", "text"), similarity, parts_of(units.count(), 16 * component_rows)))
+
+    n = F.ceil(F.col("n") / component_rows).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
+    head = F.col("node") == F.col("bucket")
+    blocks = F.when(head, F.sequence(F.lit(0), n - 1)).otherwise(F.array(own))
+    first = linked(members.select("node", "bucket", F.explode(blocks).alias("k")).select(F.xxhash64("bucket", "k").alias("unit"), F.lit(2).alias("side"), "node"))
+    together = connected_components(first, stage).withColumnRenamed("component", "label")
+    labels = stage.write(members.join(together, "node", "left").select("node", "bucket", "n", F.coalesce("label", "node").alias("label")))
+    # the head is the smallest node of its candidate component, and so of its label
+    left = labels.where(F.col("label") != F.col("bucket"))
+    sizes = stage.write(left.groupBy("bucket").agg(F.count("*").alias("apart")))
+    if sizes.isEmpty():
+        return first
+    both = labels.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_SIZES else sizes, "bucket")
+    apart, rest = F.ceil(F.col("apart") / component_rows).cast("int"), F.ceil((F.col("n") - F.col("apart")) / component_rows).cast("int")
+    lone = F.col("label") != F.col("bucket")
+    mine = F.when(lone, F.pmod(F.xxhash64("node", F.lit(8)), apart)).otherwise(F.pmod(F.xxhash64("node", F.lit(9)), rest)).cast("int")
+    placed = both.withColumns({"_apart": apart, "_rest": rest, "_mine": mine, "_lone": lone})
+    other = F.sequence(F.lit(0), F.when(F.col("_lone"), F.col("_rest")).otherwise(F.col("_apart")) - 1)
+    cross = F.transform(other, lambda k: F.struct(F.when(F.col("_lone"), F.xxhash64("bucket", F.lit("x"), "_mine", k)).otherwise(F.xxhash64("bucket", F.lit("x"), k, "_mine")).alias("unit"), F.when(F.col("_lone"), 0).otherwise(1).alias("side")))
+    within = F.transform(F.sequence(F.lit(0), F.col("_apart") - 1), lambda k: F.struct(F.xxhash64("bucket", F.lit("y"), F.least(k, F.col("_mine")), F.greatest(k, F.col("_mine"))).alias("unit"), F.when(k == F.col("_mine"), 2).when(k > F.col("_mine"), 0).otherwise(1).alias("side")))
+    meets = F.concat(cross, F.when(F.col("_lone"), within).otherwise(F.array().cast("array<struct<unit:bigint,side:int>>")))
+    second = linked(placed.select("node", F.explode(meets).alias("x")).select("x.unit", "x.side", "node"))
+    return first.unionByName(second)
+
+
+#: Candidate components with texts left apart, up to which their sizes are broadcast.
+BROADCAST_SIZES = 100_000
+
+
+def similar_rows(rows: DataFrame, stage: Stage, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, bucket_rows: int = BUCKET_ROWS, component_rows: int = COMPONENT_ROWS) -> DataFrame:
+    """row, component: rows joined by links of that similarity of five-word shingle sets. rows: a table of row long (unique) and text.
 
     A radius of a few bits misses most texts of similarity 0.8, and no cover by equal
     blocks is selective at the radius they need. Buckets here are bands of two min-hashes
-    (0.99996 of pairs at 0.8 share one of ten). In them the bit-sliced comparison joins
-    fingerprints within the radius to candidate components, and in those the shingle sets
-    are compared exactly, breadth first, so that only texts with a likely partner are read
-    again. Fingerprints are of distinct shingles, as the sets are: repeats move no bit.
-    With few shingles a bit hangs on one of them and no radius holds; such texts carry
-    their shingles into the buckets and are compared exactly there, whatever their
-    fingerprints. Equal texts are one node; texts without words are similar to nothing else.
+    (0.9998 of pairs at 0.8 share one of 16). In them the bit-sliced comparison joins
+    fingerprints within the radius whose min-hashes agree often enough to candidate
+    components, and in those the shingle sets are compared exactly, so that only texts with
+    a likely partner are read again. Fingerprints are of distinct shingles, as the sets
+    are: repeats move no bit. With few shingles a bit hangs on one of them and no radius
+    holds; such texts carry their shingles into the buckets and are compared exactly there,
+    whatever their fingerprints. Texts equal by 128 bits are one node; texts without words
+    are similar to nothing else.
     """
-    stage = Stage(docs.sparkSession, "similar")
-    rows = stage.write(_sketches(docs))
-    nodes = stage.write(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("fp", "bands", "few")]))
+    sketches = stage.write(_sketches(rows))
+    grouped = sketches.groupBy("h1", "h2").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("fp", "bands", "signs", "few")])
+    nodes = stage.write(grouped.withColumn("node", F.monotonically_increasing_id()))
+    keyed = nodes.select("node", "fp", "signs", F.coalesce(F.size("few"), F.lit(-1)).alias("m"), F.explode("bands").alias("bucket"))
+    near = crowded(keyed.select("node", "m", "bucket"), stage)
+    tasks = parts_of(near.count(), TASK_ROWS)
     # a text of few shingles has partners beyond FEW_SHINGLES only near that number
-    many = nodes.where(F.col("few").isNull() | (F.size("few") > similarity * FEW_SHINGLES))
-    buckets = many.select("node", "fp", F.explode("bands").alias("bucket"))
-    near = stage.write(_links_in_units(_units(buckets, bucket_rows, "node", "fp"), radius))
-    small = nodes.where(F.col("few").isNotNull()).select("node", "few", F.explode("bands").alias("bucket"))
-    short = _similar_links(_units(small, bucket_rows, "node", "few"), similarity)
-    likely = connected_components(near, stage)
-    members = likely.join(nodes.select("node", "rep"), "node").select("node", "rep", F.col("component").alias("bucket"))
-    dealt = _units(members, component_rows, "node", "rep")
-    source = docs.select(_node(), "doc_id", "text")
-    texts = dealt.join(source, (dealt["node"] == source["node"]) & dealt["rep"].eqNullSafe(source["doc_id"])).select("unit", "side", dealt["node"], "text")
-    component = connected_components(stage.write(_similar_links(texts, similarity).unionByName(short)), stage)
-    named = nodes.join(component, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = stage.write(named.join(least, "component").select("node", "component_id"))
-    return rows.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
+    many = near.where((F.col("m") < 0) | (F.col("m") > similarity**2 * FEW_SHINGLES))
+    prints = _units(many, bucket_rows, "node").join(nodes.select("node", "fp", "signs"), "node").select("unit", "side", "node", "fp", "signs")
+    likely = connected_components(stage.write(_links_in_units(prints, radius, tasks, AGREE)), stage)
+    small = _units(near.where("m >= 0"), bucket_rows, "node").join(nodes.select("node", "few"), "node").select("unit", "side", "node", "few")
+    short = stage.write(_similar_links(small, similarity, tasks))
+    likely = stage.write(likely.withColumnRenamed("component", "bucket"))
+    sizes = stage.write(likely.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("size", F.col("n")))
+    members = stage.write(hot_join(likely, sizes, ["bucket"], likely.count()).withColumnRenamed("size", "n"))
+    firsts = sketches.groupBy("h1", "h2").agg(F.min("row").alias("row")).join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).join(members.select("node"), "node", "left_semi")
+    texts = stage.write(rows.select("row", "text").join(firsts.select("row", "node"), "row").select("node", "text"))
+    found = _verified(members, texts, stage, similarity, component_rows).unionByName(short)
+    component = connected_components(found, stage)
+    named = stage.write(nodes.select("h1", "h2", "node", F.col("copies").alias("n")).join(component, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component")))
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return hot_join(sketches.select("row", "h1", "h2"), named, ["h1", "h2"], total).select("row", "component")
+
+
+def keyed_rows(docs: DataFrame, stage: Stage) -> DataFrame:
+    """docs as a table with a unique row number as its last column, named so that it clashes with none."""
+    return stage.write(docs.select("*", F.monotonically_increasing_id().alias(row_name(docs))))
+
+
+def row_name(docs: DataFrame) -> str:
+    name = "row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
+def similar_documents(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, component_id (the least id of the group, null if none has one) of every row; see similar_rows."""
+    stage = Stage(docs.sparkSession, "similar")
+    rows = keyed_rows(docs.select("doc_id", "text"), stage)
+    found = stage.write(similar_rows(rows, stage, **settings))
+    ids = rows.select("row", "doc_id").join(found, "row")
+    least = stage.write(ids.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")))
+    return hot_join(ids, least, ["component"], rows.count()).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """docs with one row of each group of similar texts: the one with the least id (rows without an id come last), then the first.
+
+    Every row is decided by itself: equal ids with other texts are other documents, and of
+    repeated rows one stays.
+    """
+    stage = Stage(docs.sparkSession, "one")
+    rows, name = keyed_rows(docs, stage), row_name(docs)
+    found = stage.write(similar_rows(rows.select(F.col(name).alias("row"), "text"), stage, **settings))
+    ids = rows.select(F.col(name).alias("row"), "doc_id").join(found, "row")
+    kept = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("row"))).alias("x")).select("x.row")
+    gone = found.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", name)
+    return rows.join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
