@@ -1,17 +1,18 @@
 """The corpus pipeline: each stage takes what its predecessor kept.
 
-Toxicity drops what the classifier rejects, SimHash near-dedup keeps the document with
-the smallest id of each group (five-word shingle sets of similarity 0.8 or more),
-decontamination drops documents that hold a window of
-the benchmark, PII replaces personal data by its kind, and encoding returns the
-token ids' digests. Rows of one id that a stage rejects go together; a null id is
-dropped by no stage but the first.
+Toxicity drops what the classifier rejects, SimHash near-dedup keeps one document of each
+group of similar texts (cosine of the five-word shingle sets of 0.8 or more), the one with
+the smallest id; decontamination drops documents that hold a window of the benchmark, PII
+replaces personal data by its kind, and encoding returns the token ids' digests.
+
+Every row is decided by itself, whatever its id: rows without an id or with another row's
+id are documents of their own, and of repeated rows near-dedup keeps one. Columns beyond
+doc_id and text pass through every stage but the last, under any name; empty tables pass.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, decontaminate, pii, simhash, toxicity
 from tessera.llm.common import table
@@ -24,23 +25,18 @@ def toxicity_stage(spark, docs, sf_dir):
 
 
 def simhash_stage(spark, docs, sf_dir):
-    """The document with the smallest id of each group of similar texts; of rows with that id, all."""
-    found = simhash.similar_documents(docs)
-    far = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(far, "doc_id", "left_anti")
+    """One document of each group of similar texts."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination_stage(spark, docs, sf_dir):
     """Documents without any window of the benchmark."""
-    found = decontaminate.contamination_report(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti")
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark, docs, sf_dir):
     """Texts with personal data replaced by [KIND]; n_chars follows."""
-    found = pii.with_spans(docs, "pii_spans")
-    text = found.withColumn("text", pii.redacted(F.col("text"), F.col("pii_spans")))
-    return text.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*docs.columns)
+    return pii.redacted_documents(docs)
 
 
 def encoding_stage(spark, docs, sf_dir):
