@@ -54,7 +54,7 @@ class Stage:
     """Intermediate tables of one run, written to the shared folder to cut lineage.
 
     A lost executor then costs the re-read of a file, not the recomputation of
-    what led to it. drop() removes tables that no plan reads any more.
+    what led to it. drop() and keep() remove tables that no plan reads any more.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -73,6 +73,15 @@ class Stage:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_tessera_path", None)
         if path:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove every table of the run but these, which plans still read."""
+        held = {getattr(df, "_tessera_path", None) for df in tables}
+        for k in range(self.count):
+            if f"{self.root}/{k}" not in held:
+                self._delete(f"{self.root}/{k}")
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

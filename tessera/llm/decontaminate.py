@@ -256,8 +256,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """h1, h2: 128 bits of each text that holds a window of the benchmark, whatever the ids of its rows."""
-    found = find_contamination(docs.select(F.struct(*text_hash()).alias("doc_id"), "text"), benchmark, window)
-    return found.where(F.size("hits") > 0).select("doc_id.h1", "doc_id.h2").distinct()
+    stage = Stage(docs.sparkSession, "index")
+    index = stage.write(build_index(docs.select(F.struct(*text_hash()).alias("doc_id"), "text")))
+    found = search(index, windows_of(benchmark.select("item_id", "text"), stage, window), stage)
+    out = stage.write(found.where(F.size("hits") > 0).select("doc_id.h1", "doc_id.h2").distinct())
+    stage.keep(out)
+    return out
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

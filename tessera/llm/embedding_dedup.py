@@ -202,6 +202,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     least = stage.write(named.groupBy("component").agg(F.min("rep").alias("found"), F.count("*").alias("n")))
     total = named.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     by_vector = stage.write(hot_join(named.withColumnRenamed("n", "rows"), least, ["component"], total[0]).select("h1", "h2", "n_links", "found", F.col("rows").alias("n")))
+    stage.keep(by_vector)
     linked = hot_join(rows.where(_valid() & F.col("vec_id").isNotNull()).select("vec_id", *marks), by_vector, ["h1", "h2"], total[1]).select("vec_id", "n_links", F.col("found").alias("component_id"))
     alone = rows.where(~(_valid() & F.col("vec_id").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -175,7 +175,9 @@ def discovered_spans(docs: DataFrame) -> DataFrame:
     stage = Stage(docs.sparkSession, "pii")
     tokens = stage.write(instances(docs))
     new = tokens.where(F.col("kind").isNull()).drop("kind").join(discover(tokens, stage), "value")
-    return stage.write(new.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "first", "last"))).alias("found")))
+    out = stage.write(new.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "first", "last"))).alias("found")))
+    stage.keep(out)
+    return out
 
 
 def _bytes(df: DataFrame) -> int:

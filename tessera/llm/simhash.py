@@ -334,6 +334,7 @@ def _with_component(rows: DataFrame, named: DataFrame, on: list[str], stage: Sta
     least = stage.write(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("keys")).withColumnRenamed("keys", "n"))
     total = named.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     keyed = stage.write(hot_join(named.withColumnRenamed("n", "rows"), least, ["component"], total[0]).select(*on, "component_id", F.col("rows").alias("n")))
+    stage.keep(rows, keyed)
     return hot_join(rows, keyed, on, total[1])
 
 
@@ -496,8 +497,10 @@ def similar_rows(rows: DataFrame, stage: Stage, similarity: float = SIMILARITY,
     are similar to nothing else.
     """
     sketches = stage.write(_sketches(rows))
+    keys = stage.write(sketches.select("row", "h1", "h2"))
     grouped = sketches.groupBy("h1", "h2").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("fp", "bands", "signs", "few")])
     nodes = stage.write(grouped.withColumn("node", F.monotonically_increasing_id()))
+    stage.drop(sketches)
     keyed = nodes.select("node", "fp", "signs", F.coalesce(F.size("few"), F.lit(-1)).alias("m"), F.explode("bands").alias("bucket"))
     near = crowded(keyed.select("node", "m", "bucket"), stage)
     tasks = parts_of(near.count(), TASK_ROWS)
@@ -510,13 +513,18 @@ def similar_rows(rows: DataFrame, stage: Stage, similarity: float = SIMILARITY,
     likely = stage.write(likely.withColumnRenamed("component", "bucket"))
     sizes = stage.write(likely.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("size", F.col("n")))
     members = stage.write(hot_join(likely, sizes, ["bucket"], likely.count()).withColumnRenamed("size", "n"))
-    firsts = sketches.groupBy("h1", "h2").agg(F.min("row").alias("row")).join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).join(members.select("node"), "node", "left_semi")
-    texts = stage.write(rows.select("row", "text").join(firsts.select("row", "node"), "row").select("node", "text"))
+    stage.drop(near)
+    firsts = keys.groupBy("h1", "h2").agg(F.min("row").alias("row")).join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).join(members.select("node"), "node", "left_semi")
+    firsts = stage.write(firsts.select("row", "node"))
+    few = firsts.count() <= BROADCAST_SIZES
+    texts = stage.write(rows.select("row", "text").join(F.broadcast(firsts) if few else firsts, "row").select("node", "text"))
     found = _verified(members, texts, stage, similarity, component_rows).unionByName(short)
     component = connected_components(found, stage)
     named = stage.write(nodes.select("h1", "h2", "node", F.col("copies").alias("n")).join(component, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component")))
     total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return hot_join(sketches.select("row", "h1", "h2"), named, ["h1", "h2"], total).select("row", "component")
+    out = stage.write(hot_join(keys, named, ["h1", "h2"], total).select("row", "component"))
+    stage.keep(rows, out)
+    return out
 
 
 def keyed_rows(docs: DataFrame, stage: Stage) -> DataFrame:
@@ -535,7 +543,7 @@ def similar_documents(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, component_id (the least id of the group, null if none has one) of every row; see similar_rows."""
     stage = Stage(docs.sparkSession, "similar")
     rows = keyed_rows(docs.select("doc_id", "text"), stage)
-    found = stage.write(similar_rows(rows, stage, **settings))
+    found = similar_rows(rows, stage, **settings)
     ids = rows.select("row", "doc_id").join(found, "row")
     least = stage.write(ids.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")))
     return hot_join(ids, least, ["component"], rows.count()).select("doc_id", "component_id")
@@ -549,8 +557,11 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """
     stage = Stage(docs.sparkSession, "one")
     rows, name = keyed_rows(docs, stage), row_name(docs)
-    found = stage.write(similar_rows(rows.select(F.col(name).alias("row"), "text"), stage, **settings))
+    plain = rows.select(F.col(name).alias("row"), "text")
+    plain._tessera_path = rows._tessera_path
+    found = similar_rows(plain, stage, **settings)
     ids = rows.select(F.col(name).alias("row"), "doc_id").join(found, "row")
     kept = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("row"))).alias("x")).select("x.row")
-    gone = found.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", name)
+    gone = stage.write(found.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", name))
+    stage.keep(rows, gone)
     return rows.join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -427,7 +427,9 @@ def repeated_runs(docs: DataFrame, stage: Stage, bucket_bytes: int = BUCKET_BYTE
     may = _bloom(candidates.select("d1"))
     found = texts.where(may).join(candidates, "d1").select("d1", "d2", "text", "places")
     runs = _dealt(found.mapInArrow(_send_windows(n_buckets, fanout), _PACKED), n_buckets, 3, fanout).mapInArrow(_meet_windows, "d1 long, d2 long, first int, last int")
-    return stage.write(runs.groupBy("d1", "d2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))), may
+    out = stage.write(runs.groupBy("d1", "d2").agg(F.collect_set(F.struct("first", "last")).alias("runs")))
+    stage.keep(out)
+    return out, may
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = True, **buckets: int) -> DataFrame:

@@ -196,13 +196,15 @@ def solve(labels: np.ndarray, own: list, swaps: list, n_features: int, counterfa
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, counterfactual: float = COUNTERFACTUAL_WEIGHT, identity_terms=IDENTITY_TERMS, max_features: int | None = None) -> Model:
     bounded_batches(docs.sparkSession)
-    sample = Stage(docs.sparkSession, "toxic").write(_sample(docs, labels, sample_rows))
+    stage = Stage(docs.sparkSession, "toxic")
+    sample = stage.write(_sample(docs, labels, sample_rows))
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < n:
         share = (toxic + 1) / (n + 2)
         return Model(float(np.log(share / (1 - share))), {})
     features = _feature_table(sample, n, toxic, max_features)
     rows, swaps = _design(sample, features), _swap_table(sample, features, swaps_of(identity_terms))
+    stage.keep()
     bias, weights = solve(np.array([r[1] for r in rows]), [r[2] for r in rows], swaps, len(features), counterfactual)
     return Model(bias, {f: float(w) for f, w in zip(features, weights) if w}, sum(n for _, _, n in swaps))
 
