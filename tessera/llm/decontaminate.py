@@ -5,17 +5,18 @@ shard, every term with the sorted list of its positions. A position counts the w
 of the shard; documents lie one after another with a gap that no phrase can span.
 The index knows nothing of the benchmark and can serve any number of searches.
 
-The benchmark is a table of windows, never gathered. The lexicon (each shard's terms with
-their counts) tells every window its rarest term, and a join on that term tells which
-shards can hold it; windows with a term that no document holds are out. A shard then
-starts from the window's rarest term there, shifts each further list by the term's offset
-and intersects, rarest first, until nothing is left or the list holds the matches. With
-slop > 0 a term may stand up to that many words off its place (proximity).
+The benchmark is a table of windows. One of up to BROADCAST_BYTES goes to every shard as it
+is. Of a larger one the lexicon (each shard's terms with their counts) tells every window
+its rarest term, and a join on that term tells which shards can hold it; windows with a
+term that no document holds are out. A shard then starts from a window's rarest term there,
+shifts each further list by the term's offset and intersects, rarest first, until nothing
+is left or the list holds the matches. With slop > 0 a term may stand up to that many words
+off its place (proximity).
 
 Documents are not shuffled: a document lies in one shard, hot terms are split over the
-shards, and a shard is one stored row. A shard's windows come to it in slices of at most
-SLICE_WINDOWS, by broadcast up to BROADCAST_BYTES in all, else by a shuffle of the shards;
-matches of several slices are merged by document.
+shards, and a shard is one stored row. Beyond BROADCAST_BYTES a shard's windows come to it
+in slices of at most SLICE_WINDOWS, by a shuffle of the shards that are asked; matches of
+several slices are merged by document.
 
 Defined cases: null and empty texts have no words and no hits; an item without words
 never occurs; one of fewer words than a window is one window of all its words; items
@@ -41,7 +42,7 @@ from .common import Stage, bounded_batches, text_hash
 WINDOW = 10
 #: Bytes of text in a shard, beyond which the next one begins.
 SHARD_BYTES = 16 << 20
-#: Windows that a shard is asked for at a time, and bytes of windows up to which they are broadcast to the shards.
+#: Windows that a shard is asked for at a time, and bytes of a benchmark's windows up to which all are broadcast.
 SLICE_WINDOWS = 50_000
 BROADCAST_BYTES = 32 << 20
 #: Distinct words of the benchmark up to which they are broadcast to the lexicon.
@@ -138,8 +139,8 @@ def lexicon(index: DataFrame) -> DataFrame:
     return index.select("shard", "terms", "counts").mapInArrow(run, "term string, shard long, n long")
 
 
-def asked_of_shards(index: DataFrame, windows: DataFrame, stage: Stage, slice_windows: int = SLICE_WINDOWS) -> tuple[DataFrame, int, int]:
-    """shard and asked (array of phrase and items), the greatest number of slices of a shard, and bytes in all.
+def asked_of_shards(index: DataFrame, windows: DataFrame, stage: Stage, slice_windows: int = SLICE_WINDOWS) -> tuple[DataFrame, int]:
+    """shard and asked (array of phrase and items), and the greatest number of slices of a shard.
 
     A window is asked of the shards that hold its rarest term.
     """
@@ -153,8 +154,8 @@ def asked_of_shards(index: DataFrame, windows: DataFrame, stage: Stage, slice_wi
     pairs = stage.write(rarest.select("wid", F.col("x.term").alias("term")).join(held, "term").select("shard", "wid"))
     sizes = pairs.groupBy("shard").agg(F.ceil(F.count("*") / slice_windows).cast("int").alias("slices"))
     dealt = stage.write(pairs.join(sizes, "shard").withColumn("slice", F.pmod(F.xxhash64("wid"), F.col("slices")).cast("int")).join(windows, "wid"))
-    most, size = dealt.agg(F.coalesce(F.max("slices"), F.lit(1)), F.coalesce(F.sum(F.octet_length("phrase") + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 16) + 64), F.lit(0))).first()
-    return dealt.groupBy("shard", "slice").agg(F.collect_list(F.struct("phrase", "items")).alias("asked")).drop("slice"), most, size
+    most = dealt.agg(F.coalesce(F.max("slices"), F.lit(1))).first()[0]
+    return dealt.groupBy("shard", "slice").agg(F.collect_list(F.struct("phrase", "items")).alias("asked")).drop("slice"), most
 
 
 class _Postings:
@@ -226,16 +227,25 @@ def search(index: DataFrame, windows: DataFrame, stage: Stage, slop: int = 0, sl
     names = ["doc_ids", "lengths", "terms", "counts", "steps", "shard"]
 
     def run(batches):
+        phrases = None
         for batch in batches:
             types = pa.schema([("shard", pa.int64()), ("doc", pa.int32()), ("doc_id", batch.schema.field("doc_ids").type.value_type), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.string()))])
             for k in range(batch.num_rows):
                 row = {name: batch.column(name)[k].as_py() for name in names}
-                phrases = {tuple(x["phrase"].encode().split(b" ")): x["items"] for x in batch.column("asked")[k].as_py() or ()}
+                if phrases is None or not alike:
+                    phrases = {tuple(x["phrase"].encode().split(b" ")): x["items"] for x in batch.column("asked")[k].as_py() or ()}
                 out = [{"shard": row["shard"], "doc": doc, "doc_id": doc_id, "n_words": n, "hits": [{"first": a, "last": b} for a, b in hits], "items": held} for doc, doc_id, n, hits, held in _search_shard(row, phrases, slop)]
                 yield pa.RecordBatch.from_pylist(out, types)
 
-    asked, slices, size = asked_of_shards(index, windows, stage, slice_windows)
-    found = index.join(F.broadcast(asked) if size <= BROADCAST_BYTES else asked, "shard", "left").select(*names, "asked").mapInArrow(run, schema)
+    size = windows.agg(F.coalesce(F.sum(F.octet_length("phrase") + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 16) + 64), F.lit(0))).first()[0]
+    alike = size <= BROADCAST_BYTES
+    if alike:
+        asked, slices = windows.agg(F.collect_list(F.struct("phrase", "items")).alias("asked")), 1
+        met = index.join(F.broadcast(asked))  # one row
+    else:
+        asked, slices = asked_of_shards(index, windows, stage, slice_windows)
+        met = index.join(asked, "shard", "left")
+    found = met.select(*names, "asked").mapInArrow(run, schema)
     if slices <= 1:
         return found.select("doc_id", "n_words", "hits", "items")
     held = found.groupBy("shard", "doc").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

@@ -49,13 +49,13 @@ PERIOD = 21
 #: A perfect difference set: every residue modulo 21 is a difference of two of these. Fixed values.
 COVER = (0, 1, 4, 14, 16)
 #: Bytes of text that a mapper works on at a time, and bytes of text to a bucket.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 5 << 20
 BUCKET_BYTES = 12 << 20
 #: Buckets that entries are dealt to at once; more take a second step.
 FANOUT = 4096
 #: Least and most words of 64 bits in the Bloom filter (2 and 32 MB), and bits a text.
 BLOOM_LEAST, BLOOM_MOST, BLOOM_BITS = 1 << 18, 1 << 22, 10
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 18
 #: Repeated hashes that a task remembers having sent.
 KEPT_MARKS = 1 << 18
 #: Tasks that buckets are dealt to.
@@ -100,9 +100,9 @@ class _Rolling:
 
 
 class _Group:
-    """Distinct texts of a mapper's group, words end to end."""
+    """Distinct texts of a mapper's group, words end to end; with two lanes of word hashes, or the first alone."""
 
-    def __init__(self, rows, hashes: _WordHashes):
+    def __init__(self, rows, hashes: _WordHashes, lanes: int):
         seen: dict = {}
         self.keys, self.extra, parts, copies = [], [], [], []
         for d1, d2, text, extra in rows:
@@ -117,13 +117,13 @@ class _Group:
             self.keys.append((d1, d2))
             self.extra.append(extra)
             copies.append(1)
-            parts.append(np.frombuffer(b"".join(map(hashes.__getitem__, words)), np.uint64).reshape(-1, 2))
-        self.sizes = np.array([len(p) for p in parts], np.int64)
+            parts.append(np.frombuffer(b"".join(map(hashes.__getitem__, words)), np.uint64).reshape(-1, 2)[:, :lanes].T.copy())
+        self.sizes = np.array([p.shape[1] for p in parts], np.int64)
         self.firsts = np.cumsum(self.sizes) - self.sizes
-        both = np.concatenate(parts) if parts else np.zeros((0, 2), np.uint64)
-        self.words, self.other = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
-        self.doc = np.repeat(np.arange(len(parts)), self.sizes)
-        self.place = np.arange(len(self.words)) - self.firsts[self.doc] if parts else np.zeros(0, np.int64)
+        self.words, self.other = (np.concatenate([p[k] for p in parts]) if parts and k < lanes else np.zeros(0, np.uint64) for k in range(2))
+        parts.clear()
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.place = np.arange(len(self.words)) - self.firsts[self.doc] if len(self.words) else np.zeros(0, np.int64)
         self.copied = np.array(copies, np.int64) > 1
 
 
@@ -137,10 +137,10 @@ def _grouped(batches, extra: bool):
             rows.append((d1, d2, text.as_py(), x.values.to_numpy() if extra else None))
             size += len(rows[-1][2] or "") + 64
             if size >= GROUP_BYTES:
-                yield _Group(rows, hashes)
+                yield _Group(rows, hashes, 2 if extra else 1)
                 rows, size = [], 0
     if rows:
-        yield _Group(rows, hashes)
+        yield _Group(rows, hashes, 2 if extra else 1)
 
 
 def _repeats(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
