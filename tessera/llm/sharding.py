@@ -1,18 +1,16 @@
 """Sharding by a two-pass external shuffle, in DataFrame operations only.
 
-Pass one collapses repeated rows into counts, gives every copy a seeded hash and
-scatters the copies uniformly into memory-sized buckets, which are written to the
-shared folder. Pass two puts each bucket into a task of its own, permutes it by
-Spark's `shuffle` (a Fisher-Yates permutation in the JVM, seeded by seed + bucket)
-and lays the buckets end to end; position p goes to shard p mod n, slot p div n.
-Counts of shards hence differ by one at most.
-
-Map columns, which cannot be grouped, go through the first shuffle as their sorted entries.
+Pass one gives every row a number, scatters the rows by a seeded hash of row and number
+uniformly into memory-sized buckets and writes them to the shared folder. Pass two puts
+each bucket into a task of its own, permutes it by Spark's `shuffle` (a Fisher-Yates
+permutation in the JVM, seeded by seed + bucket) and lays the buckets end to end; position
+p goes to shard p mod n, slot p div n. Counts of shards hence differ by one at most. Whole
+rows are written once and shuffled once. Equal rows differ in their numbers and scatter
+like any others. Map columns, which cannot be put in order, go as their sorted entries.
 
 Defined cases: a null text has size 8 and the CRC of no bytes (0); null ids and
 repeated rows are ordinary rows, each copy with a place of its own; an empty table
-gives an empty result. A row that makes up a third of the table is one counted row
-in the first shuffle and is spread over all buckets after it.
+gives an empty result. A row that makes up a third of the table is spread over all buckets.
 """
 
 from __future__ import annotations
@@ -29,6 +27,8 @@ SEED = 20240
 BUCKET_BYTES = 32 << 20
 #: Bytes that a record takes in a bucket besides its own size.
 RECORD_OVERHEAD = 64
+#: Buckets up to which their places are broadcast (16 bytes each).
+BROADCAST_BUCKETS = 1_000_000
 
 
 def two_pass_shuffle(records: DataFrame, weight, n_shards: int = N_SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -36,18 +36,17 @@ def two_pass_shuffle(records: DataFrame, weight, n_shards: int = N_SHARDS, seed:
     stage = Stage(records.sparkSession, "shard")
     maps = {f.name for f in records.schema.fields if isinstance(f.dataType, MapType)}
     own = [(F.array_sort(F.map_entries(F.col(f"`{c}`"))) if c in maps else F.col(f"`{c}`")).alias(c) for c in records.columns]
-    packed = records.select(F.struct(*own).alias("record"), weight.cast("long").alias("weight"))
-    counted = stage.write(packed.groupBy("record", "weight").agg(F.count("*").alias("copies")))
-    total = counted.agg(F.sum((F.col("weight") + RECORD_OVERHEAD) * F.col("copies"))).first()[0] or 0
+    total = records.agg(F.sum(weight.cast("long") + RECORD_OVERHEAD)).first()[0] or 0
     n_buckets = max(1, math.ceil(total / bucket_bytes))
-    copies = counted.select("record", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    scattered = stage.write(copies.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "record", "copy"), F.lit(n_buckets)).cast("int")))
+    numbered = records.select(F.struct(*own).alias("record"), F.monotonically_increasing_id().alias("copy"))
+    scattered = stage.write(numbered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "record", "copy"), F.lit(n_buckets)).cast("int")))
     sizes = scattered.groupBy("bucket").agg(F.count("*").alias("size"))
     ends = sizes.select("bucket", F.expr("sum(size) OVER (ORDER BY bucket) - size").alias("first"))
     dealt = scattered.repartitionById(n_buckets, F.col("bucket"))
     mixed = dealt.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("copy", "record"))).alias("rows"))
     mixed = mixed.select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
-    placed = mixed.join(ends, "bucket").select("first", F.posexplode("rows").alias("at", "row"))
+    # one row for each bucket of bucket_bytes
+    placed = mixed.join(F.broadcast(ends) if n_buckets <= BROADCAST_BUCKETS else ends, "bucket").select("first", F.posexplode("rows").alias("at", "row"))
     placed = placed.select("row", (F.col("first") + F.col("at")).alias("place"))
     fields = [(F.map_from_entries(F.col("row.record").getField(c)) if c in maps else F.col("row.record").getField(c)).alias(c) for c in records.columns]
     return placed.select(*fields, (F.col("place") % n_shards).cast("int").alias("shard"), F.expr(f"place div {n_shards}").alias("slot"))
