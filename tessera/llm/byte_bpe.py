@@ -20,6 +20,7 @@ import hashlib
 import re
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -80,11 +81,12 @@ def decode(ids: list[int], rank_file: str, pattern: str) -> bytes:
     return b"".join(map(raw.__getitem__, ids))
 
 
-def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ids array<int> and decoded binary."""
+def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ids array<int>, with_decoded besides decoded binary."""
+    with_decoded = with_ids and with_decoded
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded binary" * with_decoded
 
     def run(batches):
         digits = codec(rank_file, pattern)[2].__getitem__
@@ -97,13 +99,18 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bo
                 a.append(hashlib.sha256(b",".join(map(digits, ids))).hexdigest())
                 b.append(hashlib.sha256(raw).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
+                    # four bytes an id, not an object each
+                    all_ids.append(np.array(ids, np.int32))
+                if with_decoded:
                     raws.append(raw)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(raws, pa.binary())]
-                names += ["ids", "decoded"]
+                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                names.append("ids")
+            if with_decoded:
+                columns.append(pa.array(raws, pa.binary()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

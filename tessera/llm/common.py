@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..sources.shared import shared_dir
 
 #: Bytes of one Arrow batch sent to Python, so that very long texts do not pile up in a worker.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
