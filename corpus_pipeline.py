@@ -41,8 +41,7 @@ def pii_stage(spark, docs, sf_dir):
 
 def encoding_stage(spark, docs, sf_dir):
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids."""
-    found = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return found.drop("decoded")
+    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_decoded=False)
 
 
 STAGES = [
