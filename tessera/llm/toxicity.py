@@ -172,7 +172,11 @@ def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
 
 
 def solve(labels: np.ndarray, own: list, swaps: list, n_features: int, counterfactual: float = COUNTERFACTUAL_WEIGHT, l2: float = L2, steps: int = STEPS) -> tuple[float, np.ndarray]:
-    """Bias and weights, by Adam over all rows; both classes weigh the same. swaps: features away, features added, number of sentences."""
+    """Bias and weights, by Adam over all rows; both classes weigh the same. swaps: features away, features added, number of sentences.
+
+    Over the second half of the steps their length falls to zero: at a constant length Adam
+    circles the optimum, and where it stands at the end hangs on the machine's rounding.
+    """
     y = np.asarray(labels, float)
     weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
     rows, cols = _flat(own)
@@ -190,7 +194,8 @@ def solve(labels: np.ndarray, own: list, swaps: list, n_features: int, counterfa
             d = 2 * counterfactual * share * (np.bincount(p_rows, w[p_cols], len(swaps)) - np.bincount(q_rows, w[q_cols], len(swaps)))
             grad[:-1] += np.bincount(p_cols, d[p_rows], n_features) - np.bincount(q_cols, d[q_rows], n_features)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        params = params - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
+        length = 0.05 * min(1.0, 2 * (1 - (step - 1) / steps))
+        params = params - length * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
     return float(params[-1]), params[:-1]
 
 
