@@ -37,12 +37,20 @@ def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], total: int) -> Da
     """rows joined to keyed, which has a row a key and `n`, about how many of the `total` rows hold it.
 
     Keys of over one in HOT_SHARE rows, a few hundred at most, are broadcast, so that no
-    key's rows gather in a task; the rest meets by shuffle. Both tables are read twice.
+    key's rows gather in a task; a filter by their values keeps their rows out of the
+    shuffle by which the rest meets. keyed should be a table: it is read once more to find
+    them. Without such keys this is one join.
     """
     bound = max(1, total // HOT_SHARE)
     hot, rest = keyed.where(F.col("n") > bound).drop("n"), keyed.where(F.col("n") <= bound).drop("n")
+    values = hot.select(*on).dropna().collect()
+    if not values:
+        return rows.join(rest, on)
+    kinds = [keyed.schema[c].dataType for c in on]
+    key, pack = (F.col(on[0]), lambda x: x) if len(on) == 1 else (F.struct(*on), F.struct)
+    known = [pack(*[F.lit(x).cast(kind).alias(c) for x, kind, c in zip(row, kinds, on)]) for row in values]
     here = rows.join(F.broadcast(hot), on)
-    return here.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on).select(*here.columns))
+    return here.unionByName(rows.where(~key.isin(known)).join(rest, on).select(*here.columns))
 
 
 def parts_of(n: int, per: int) -> int:

@@ -240,6 +240,28 @@ def test_hot_keys_join_like_any_other(spark):
     assert got == sorted(map(tuple, rows.join(keyed, "k").select("k", "x", "total").collect()))
 
 
+def joins(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return re.findall(r"(?:HashJoin|MergeJoin) .*?, (Inner|Left\w+|Right\w+|FullOuter)", plan)
+
+
+def test_no_join_makes_rows_that_only_pass_a_hot_key(spark, tmp_path):
+    # what holds no hot key went through an anti join, which made a row of each of them
+    lots = [(None if k % 50 == 0 else 1 if k % 3 else k, -(1 << 40) if k % 3 == 1 else k, k) for k in range(3000)]
+    for name, rows in (("hot", lots), ("even", [(k % 1000, k % 1000, k) for k in range(3000)])):
+        made = spark.createDataFrame(rows, "a int, b long, x int")
+        made.write.parquet(f"{tmp_path}/{name}")
+        made = spark.read.parquet(f"{tmp_path}/{name}")
+        for on in (["a"], ["b"], ["a", "b"]):
+            made.groupBy(*on).agg(F.count("*").alias("n"), F.sum("x").alias("total")).write.parquet(f"{tmp_path}/{name}{len(on)}{on[0]}")
+            keyed = spark.read.parquet(f"{tmp_path}/{name}{len(on)}{on[0]}")
+            got = common.hot_join(made, keyed, on, 3000)
+            want = made.join(keyed.drop("n"), on).select(*got.columns)
+            assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+            assert joins(got) == ["Inner"] * (2 if name == "hot" else 1)
+
+
 def test_intermediate_tables_need_a_shared_folder():
     class Context:
         master = "spark://host:7077"
