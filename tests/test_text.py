@@ -140,3 +140,8 @@ def test_prompt_parts(spark):
 def test_abstentions_have_no_confidence(spark):
     df = spark.createDataFrame([("a", "no json")], "prompt_id string, reply string")
     assert surfaces.parsed_replies(df, ["eps"]).first().confidence == 0.0
+
+
+def test_references_without_a_semicolon_stay_as_they_are():
+    page = "<h1>ver&amp</h1><p>a&amp;amp b&amp;lt;c &copy;&#39;&copyx; d & e&nosuch;</p>"
+    assert html_dom.read_html(page)["text"] == "ver&amp\n\na&amp b<c ©'&copyx; d & e&nosuch;"
