@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -242,34 +246,151 @@ def shuffled_targets(rows: DataFrame, year: str, key: str, permutations: int, se
     return drawn.drop("place", "y", "ry").join(targets, [year, "given"]).drop("given")
 
 
+#: Sine table and rotations of MD5 (RFC 1321).
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) & 0xFFFFFFFF for i in range(64)]
+_TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_WORDS = [lambda i: i, lambda i: (5 * i + 1) % 16, lambda i: (3 * i + 5) % 16, lambda i: 7 * i % 16]
+_MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+#: Numbers hashed at a time, so that a step's arrays stay in the cache.
+MD5_ROWS = 1 << 14
+
+
+def _md5_heads(prefix: bytes, first: int, count: int, digits: int) -> np.ndarray:
+    """The first 8 bytes, as numbers, of the MD5 of prefix and each of count numbers of that many digits; one block of MD5 each."""
+    size = len(prefix) + digits
+    block = bytearray(64)
+    block[: len(prefix)], block[size], block[56:] = prefix, 0x80, (8 * size).to_bytes(8, "little")
+    words: list = [int.from_bytes(block[4 * k : 4 * k + 4], "little") for k in range(16)]
+    rest = np.arange(first, first + count, dtype=np.uint32)
+    for at in range(size - 1, len(prefix) - 1, -1):
+        rest, digit = rest // np.uint32(10), rest % np.uint32(10)
+        words[at // 4] = words[at // 4] + ((digit + np.uint32(48)) << np.uint32(8 * (at % 4)))
+    a, b, c, d = (np.full(count, x, np.uint32) for x in _MD5_START)
+    f, t = np.empty(count, np.uint32), np.empty(count, np.uint32)
+    for i in range(64):
+        kind = i // 16
+        if kind == 0:
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+        elif kind == 1:
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif kind == 2:
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+        else:
+            np.bitwise_not(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        word, turn = words[_WORDS[kind](i)], _TURNS[kind][i % 4]
+        if isinstance(word, int):
+            np.add(f, np.uint32((word + _SINES[i]) & 0xFFFFFFFF), out=f)
+        else:
+            np.add(f, word, out=f), np.add(f, np.uint32(_SINES[i]), out=f)
+        np.add(f, a, out=f)
+        np.left_shift(f, np.uint32(turn), out=t), np.right_shift(f, np.uint32(32 - turn), out=f), np.bitwise_or(f, t, out=f), np.add(f, b, out=f)
+        a, f, b, c, d = d, a, f, b, c
+    out = np.empty((count, 2), "<u4")
+    out[:, 0], out[:, 1] = a + np.uint32(_MD5_START[0]), b + np.uint32(_MD5_START[1])
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def drawn_order(prefix: str, n: int) -> np.ndarray:
+    """The places 1 to n, from 0, by the MD5 of prefix and place, then by place."""
+    start, keys, first = prefix.encode(), np.empty(n, np.uint64), 1
+    if len(start) + len(str(n)) > 55:
+        raise ValueError("the prefix does not fit one block of MD5")
+    while first <= n:
+        digits = len(str(first))
+        count = min(MD5_ROWS, n - first + 1, 10**digits - first)
+        keys[first - 1 : first - 1 + count] = _md5_heads(start, first, count, digits)
+        first += count
+    order = np.argsort(keys, kind="stable")
+    held = keys[order]
+    equal = np.flatnonzero(held[1:] == held[:-1])
+    for k in equal:  # heads that agree are told apart by their whole digests
+        if k == 0 or held[k - 1] != held[k]:
+            end = k + 1 + int(np.argmax(np.append(held[k + 1 :] != held[k], True)))
+            order[k:end] = sorted(order[k:end].tolist(), key=lambda x: (hashlib.md5(start + str(x + 1).encode()).digest(), x))
+    return order
+
+
+def _mean_ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties sharing their mean."""
+    order = np.argsort(x, kind="stable")
+    held = x[order]
+    starts = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+    ends = np.append(starts[1:], len(x))
+    out = np.empty(len(x))
+    out[order] = np.repeat((starts + 1 + ends) / 2, ends - starts)
+    return out
+
+
+def _permuted_year(numbers: list[int], seed: int, year: int, n: int, p: int, models: dict[int, list[float]]):
+    """For each of the permutations: the sums of products with the drawn targets and, where it has a model, its IC on this year.
+
+    Reads the year's rows (place, x0.., y) once; holds the year's columns and a few more of the same length.
+    """
+
+    def run(batches):
+        x, missing, y = np.zeros((p, n)), np.zeros((p, n), bool), np.zeros(n)
+        for batch in batches:
+            at = batch.column(0).to_numpy() - 1
+            for k in range(p):
+                column = batch.column(1 + k)
+                missing[k, at] = column.is_null().to_numpy(zero_copy_only=False)
+                x[k, at] = pc.fill_null(column, 0.0).to_numpy()
+            y[at] = batch.column(1 + p).to_numpy()
+        ry, rows = _mean_ranks(y) - (n + 1) / 2, []
+        for b in numbers:
+            order = drawn_order(f"{seed}:{b}:{year}:", n) if b else np.arange(n)
+            z = np.empty(n)
+            z[order] = y
+            sums, ic = [float(z.sum()), *(x @ z).tolist(), *(float(z[m].sum()) for m in missing)], None
+            if b in models:
+                c0, slopes, fill = models[b][0], models[b][1 : 1 + p], models[b][1 + p :]
+                predicted = np.full(n, c0)
+                for k in range(p):
+                    predicted += slopes[k] * np.where(missing[k], fill[k], x[k])
+                rp = _mean_ranks(predicted) - (n + 1) / 2
+                z[order] = ry
+                spread = math.sqrt(float(rp @ rp) * float(ry @ ry))
+                ic = float(rp @ z) / spread if n > 2 and spread > 0 else None
+            rows.append((b, ic, sums))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["permutation", "ic", "sums"])
+
+    return run
+
+
 def permutation_test(frame: DataFrame, features: list[str], target: str, year: str = "fiscal_year", key: str = "ticker", permutations: int = PERMUTATIONS, seed: int = 7, alpha: float = ALPHA, min_train: int = MIN_TRAIN) -> DataFrame:
     """observed, p, null_mean, null_std, null_p95, n: mean IC against targets shuffled within each year.
 
-    Shuffling changes the products with the target alone, so each fold's equations are
-    solved once for all permutations; the sums by permutation and year are one aggregate,
-    and the ranks of the predictions a window by permutation and fold. key: orders a year's rows.
+    Permutation 0 is the identity. A row at place k of its year, by key, takes the target
+    of the row whose place is that of k in the order of the MD5 of seed, permutation, year
+    and place. Shuffling changes the products with the target alone, so each fold's
+    equations are solved once for all permutations. Years go one after the other: each
+    task reads the year's rows and draws, sums and ranks its share of the permutations
+    there, so that no row is copied or shuffled for a permutation; a task holds one year.
     """
     spark, own = frame.sparkSession, _Frame(frame, features, target, year, min_train)
-    folds, _ = _folds(own, alpha)
-    p = len(features)
-    rows = shuffled_targets(own.rows, year, key, permutations, seed)
-    cross = rows.groupBy("permutation", year).agg(*[F.sum(v * F.col("z")).alias(f"s{k}") for k, v in enumerate(own.values)])
-    sums: dict[int, dict[int, np.ndarray]] = {}
-    for r in cross.collect():  # a row of 2 p + 1 sums for each permutation and year
-        sums.setdefault(r["permutation"], {})[r[year]] = np.array([*[r[f"s{k}"] for k in range(2 * p + 1)], 0.0])
-    models = []
-    for number, by_year in sums.items():
-        total = np.zeros(2 * p + 2)
-        for y in sorted(by_year):
+    folds, sums = _folds(own, alpha)
+    p, path = len(features), new_folder(spark, "places")
+    columns = ["place", *[f"x{k}" for k in range(p)], "y"]
+    placed = own.rows.withColumn("place", F.row_number().over(Window.partitionBy(year).orderBy(key))).select(F.col(year).cast("int").alias("_year"), *columns)
+    placed.write.partitionBy("_year").parquet(path)
+    kept = spark.read.schema(placed.schema).parquet(path)
+    shares = min(permutations + 1, spark.sparkContext.defaultParallelism)
+    totals, rows = {b: np.zeros(2 * p + 2) for b in range(permutations + 1)}, []
+    last = max(folds, default=None)
+    for y in sorted(sums):
+        if last is None or y > last:
+            break
+        models = {b: _model_row(folds[y], folds[y].solve(total)) for b, total in totals.items()} if y in folds else {}
+        own_rows, parts = kept.where(F.col("_year") == int(y)).select(*columns).coalesce(1), []
+        for share in range(shares):
+            numbers = list(range(share, permutations + 1, shares))
+            parts.append(own_rows.mapInArrow(_permuted_year(numbers, seed, int(y), int(sums[y][0, 0]), p, {b: models[b] for b in numbers if b in models}), "permutation int, ic double, sums array<double>").rdd)
+        # a union of tables in one part each would be one task
+        for r in spark.sparkContext.union(parts).collect():  # a row of 2 p + 1 sums for each permutation
+            totals[r["permutation"]] = totals[r["permutation"]] + np.array([*r["sums"], 0.0])
             if y in folds:
-                models.append((int(number), int(y), *_model_row(folds[y], folds[y].solve(total))))
-            total = total + by_year[y]
-    slots = "".join(f", {n}{k} double" for n in "am" for k in range(p))
-    fitted = spark.createDataFrame(models, f"permutation int, fold int, c0 double{slots}")
-    tested = _predicted(own, rows.withColumn("fold", F.col(year).cast("int")), fitted, "permutation", "fold").select("permutation", "fold", "predicted", "rz")
-    ranked = tested.withColumn("rp", average_rank("predicted", "permutation", "fold"))
-    some = (F.count("*") > 2) & (F.stddev_pop("rp") > 0) & (F.stddev_pop("rz") > 0)
-    ics = ranked.groupBy("permutation", "fold").agg(F.when(some, F.corr("rp", "rz")).alias("ic")).groupBy("permutation").agg(F.avg("ic").alias("ic")).where("ic IS NOT NULL")
+                rows.append((r["permutation"], int(y), r["ic"]))
+    ics = spark.createDataFrame(rows, "permutation int, fold int, ic double").groupBy("permutation").agg(F.avg("ic").alias("ic")).where("ic IS NOT NULL")
     out = ics.agg(F.max(F.when(F.col("permutation") == 0, F.col("ic"))).alias("observed"), F.array_sort(F.collect_list(F.when(F.col("permutation") > 0, F.col("ic")))).alias("null"))
     n = F.size("null")
     beyond = F.size(F.filter("null", lambda x: F.abs(x) >= F.abs(F.col("observed"))))

@@ -336,3 +336,29 @@ def test_balance_against_no_assets_is_unchecked(spark):
     df = spark.createDataFrame([(1, 0.0, 274.0, 294.0, 10.0, 100.0, 5.0), (2, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (3, -0.0, 1.0, 1.0, 1.0, 1.0, 1.0)], schema)
     got = {(r.id, r.rule): r.state for r in verify.identities(df).collect()}
     assert {got[k, "balance"] for k in (1, 2, 3)} == {"unchecked"} and got[1, "cash_over_assets"] == "violated" and got[2, "cash_over_assets"] == "ok"
+
+
+def test_drawn_order_is_that_of_the_digests():
+    import hashlib
+
+    for n in (1, 9, 10, 101, 20_000):
+        want = sorted(range(n), key=lambda k: (hashlib.md5(b"7:12:1999:%d" % (k + 1)).hexdigest(), k))
+        assert models.drawn_order("7:12:1999:", n).tolist() == want
+    with pytest.raises(ValueError):
+        models.drawn_order("x" * 55, 1)
+
+
+def test_permutations_multiply_no_rows(spark, monkeypatch):
+    """Same null as by a table of all rows and permutations, without that table."""
+    rng = np.random.default_rng(5)
+    rows = [(f"t{k:02d}", 2000 + y, float(rng.integers(5)), None if k % 7 == 0 else float(rng.standard_normal()), float(rng.integers(9))) for y in range(4) for k in range(30)]
+    df = spark.createDataFrame(rows, "ticker string, fiscal_year int, a double, b double, y double").repartition(3)
+    drawn = models.shuffled_targets(df, "fiscal_year", "ticker", 6, 7).collect()
+    ics = {}
+    for b in range(7):
+        shuffled = spark.createDataFrame([(r.ticker, r.fiscal_year, r.a, r.b, r.z) for r in drawn if r.permutation == b], df.schema)
+        ics[b] = np.mean([r.ic for r in models.walk_forward(shuffled, ["a", "b"], "y").collect()])
+    monkeypatch.setattr(models, "shuffled_targets", None)
+    got = models.permutation_test(df, ["a", "b"], "y", permutations=6).first()
+    null = [ics[b] for b in range(1, 7)]
+    assert got.n == 6 and got.observed == pytest.approx(ics[0]) and got.null_mean == pytest.approx(np.mean(null)) and got.null_std == pytest.approx(np.std(null))
