@@ -15,6 +15,10 @@ from ..functions.text import TOKEN, cap_words, json_body
 REPLY = "map<string,struct<found:boolean,value_as_stated:double,scale:string,confidence:double,citation:string,quote:string>>"
 
 
+#: Texts that are encoded at a time.
+ENCODE_ROWS = 256
+
+
 def shape_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """A stand-in encoder that any engine can repeat: unit vectors of token counts by the token's shape.
 
@@ -38,7 +42,9 @@ def encoded(text: Column, encode: Callable[[list[str]], np.ndarray], prefix: str
 
     @F.arrow_udf("array<double>")
     def vectors(texts: pa.Array) -> pa.Array:
-        return pa.array(list(encode([prefix + (t or "") for t in texts.to_pylist()])), pa.list_(pa.float64()))
+        parts = (texts.slice(at, ENCODE_ROWS).to_pylist() for at in range(0, len(texts), ENCODE_ROWS))
+        kind = pa.list_(pa.float64())
+        return pa.concat_arrays([pa.array([], kind), *(pa.array(list(encode([prefix + (t or "") for t in part])), kind) for part in parts)])
 
     return vectors(text)
 

@@ -144,8 +144,7 @@ DENSE_SQL = """dense AS (SELECT query_id, id, sim AS score, rank FROM (SELECT q.
 def dense_topk(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
-    found = re_.dense_search(q, v, 20).withColumn("score", F.round("score", 9)).drop("rank")
-    return re_.top_k(found, 10).select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("sim"))
+    return re_.dense_search(q, v, 10, digits=9).select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("sim"))
 
 
 @query("""WITH v AS (SELECT query_id, id, score, label FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score,
@@ -153,8 +152,8 @@ def dense_topk(spark, d):
     WHERE q.vec_id % 50 = 0) WHERE rank <= 5) SELECT query_id, id AS vec_id, label, round(score, 6) AS sim FROM v""")
 def dense_topk_filtered(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
-    found = re_.dense_search(v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), v, 10, ("label",)).withColumn("score", F.round("score", 9)).drop("rank")
-    return re_.top_k(found, 5).join(v.select("id", "label"), "id").select("query_id", F.col("id").alias("vec_id"), "label", F.round("score", 6).alias("sim"))
+    found = re_.dense_search(v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), v, 5, ("label",), digits=9)
+    return found.join(v.select("id", "label"), "id").select("query_id", F.col("id").alias("vec_id"), "label", F.round("score", 6).alias("sim"))
 
 
 HYBRID_SQL = """shapes AS (SELECT query_id, id, list_transform(range(64), lambda k: len(list_filter(places, lambda p: p = k)))::DOUBLE[] AS v FROM (

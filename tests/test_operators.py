@@ -362,3 +362,29 @@ def test_permutations_multiply_no_rows(spark, monkeypatch):
     got = models.permutation_test(df, ["a", "b"], "y", permutations=6).first()
     null = [ics[b] for b in range(1, 7)]
     assert got.n == 6 and got.observed == pytest.approx(ics[0]) and got.null_mean == pytest.approx(np.mean(null)) and got.null_std == pytest.approx(np.std(null))
+
+
+def test_dense_search_keeps_ties_by_id_and_holds_little(monkeypatch):
+    """Batches of many duplicates: the k best by score and id, and scores of a tile alone."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieval, "TILE", 64)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((40, 8))
+    ids, labels = rng.permutation(4000), rng.integers(3, size=4000)
+    vectors = base[rng.integers(40, size=4000)]
+    asked = [{"query_id": q, "vector": base[q % 40].tolist(), "label": q % 3} for q in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + 2000]), pa.array(vectors[a : a + 2000].tolist()), pa.array(labels[a : a + 2000])], names=["id", "vector", "label"]) for a in (0, 2000)]
+    for same in ((), ("label",)):
+        run = retrieval._nearest(asked, 7, same, 9)
+        tracemalloc.start()
+        got = [x for b in run(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns))]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        scores = np.round(np.array([a["vector"] for a in asked]) / np.linalg.norm([a["vector"] for a in asked], axis=1)[:, None] @ (vectors / np.linalg.norm(vectors, axis=1)[:, None]).T, 9)
+        for a, row in zip(asked, scores):
+            want = sorted(((-s, i) for s, i, own in zip(row, ids, labels) if not same or own == a["label"]))[:7]
+            assert sorted((-s, i) for q, i, s in got if q == a["query_id"]) == want
+        assert peak < 2_000_000  # all scores of a batch are 4.8 MB
