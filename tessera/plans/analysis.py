@@ -22,7 +22,7 @@ from ..operators import sections as se
 from ..operators import surfaces as su
 from ..operators import verify as ve
 from ..sources import filings as src
-from ..sources.shared import spread, stored
+from ..sources.shared import new_folder, spread, stored
 from .registry import query, table
 from .study_sql import FRAME_SQL, PERMUTATION_SQL, RIDGE_SQL
 from .text_sql import CHUNKS_SQL, CLAIMS_SQL, GATE_SQL, SECTIONS_SQL
@@ -127,10 +127,16 @@ per AS (SELECT r.routed, q.query_id, coalesce(1.0 / min(rank), 0) AS rr, coalesc
 SELECT routed, round(avg(rr), 6) AS mrr, round(avg(hit), 6) AS hit5 FROM per GROUP BY routed""")
 def bm25_routed_vs_unrouted(spark, d):
     qrels = _qrels(spark, d)
-    scored = re_.lexical_scores(_index(spark, d), _questions(spark, d))
     langs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    scored = re_.lexical_scores(_index(spark, d), _questions(spark, d), langs)
+    # the 50 best of a query and language hold the 50 best of any choice of languages
+    own = Window.partitionBy("query_id", "lang").orderBy(F.desc("score"), "id")
+    best = scored.withColumn("place", F.row_number().over(own)).where("place <= 50").drop("place")
+    path = new_folder(spark, "routed")
+    best.write.parquet(path)
+    scored = spark.read.schema(best.schema).parquet(path)
     # a routed query keeps documents in the language of its relevant ones
-    routed = scored.join(langs, "id").join(qrels.select("query_id", "lang").distinct(), ["query_id", "lang"], "left_semi")
+    routed = scored.join(qrels.select("query_id", "lang").distinct(), ["query_id", "lang"], "left_semi")
     parts = [re_.evaluate(re_.query_scores(re_.top_k(x, 50), qrels)).where("k = 5").select(F.lit(name).alias("routed"), F.round("mrr", 6).alias("mrr"), F.round("hit", 6).alias("hit5")) for name, x in ((False, scored.select("query_id", "id", "score")), (True, routed.select("query_id", "id", "score")))]
     return parts[0].unionByName(parts[1])
 

@@ -388,3 +388,16 @@ def test_dense_search_keeps_ties_by_id_and_holds_little(monkeypatch):
             want = sorted(((-s, i) for s, i, own in zip(row, ids, labels) if not same or own == a["label"]))[:7]
             assert sorted((-s, i) for q, i, s in got if q == a["query_id"]) == want
         assert peak < 2_000_000  # all scores of a batch are 4.8 MB
+
+
+def test_lexical_scores_are_summed_where_they_are_made(spark):
+    docs = spark.createDataFrame([(k, " ".join(["net", "cash", "391,035", f"w{k}"][: 1 + k % 4]), "ab"[k % 2]) for k in range(40)], "id long, text string, lang string")
+    index = retrieval.lexical_index(retrieval.term_counts(docs, "id", "text"))
+    asked = spark.createDataFrame([("q", "net cash w7"), ("r", "391,035")], "query_id string, question string")
+    plain = {(r.query_id, r.id): r.score for r in retrieval.lexical_scores(index, asked).collect()}
+    scored = retrieval.lexical_scores(index, asked, docs.select("id", "lang"))
+    assert {(r.query_id, r.id): r.score for r in scored.collect()} == plain and len(plain) > 20
+    assert all(r.lang == "ab"[r.id % 2] for r in scored.collect())
+    # no exchange of pairs: none deals by query
+    for plan in (scored, retrieval.lexical_scores(index, asked)):
+        assert "hashpartitioning(query_id#" not in plan.where("score > 1")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
