@@ -22,7 +22,7 @@ from ..operators import sections as se
 from ..operators import surfaces as su
 from ..operators import verify as ve
 from ..sources import filings as src
-from ..sources.shared import new_folder, spread, stored
+from ..sources.shared import dealt, new_folder, spread, stored
 from .registry import query, table
 from .study_sql import FRAME_SQL, PERMUTATION_SQL, RIDGE_SQL
 from .text_sql import CHUNKS_SQL, CLAIMS_SQL, GATE_SQL, SECTIONS_SQL
@@ -636,5 +636,6 @@ def selected_facts(spark, d):
     price = F.col("o_totalprice")
     income = F.when(F.col("o_orderkey") % 100 == 0, F.lit("NetIncomeLoss")).otherwise("ProfitLoss")
     tags = F.create_map(income, tag(fact(90, price / 4, "10-K"), fact(365, price, "8-K"), fact(365, price * 2, "10-K")), F.lit("Assets"), tag(fact(0, price * 9, "10-K")))
-    payloads = o.select(F.col("o_custkey").alias("cik"), F.lit("T").alias("ticker"), F.create_map(F.lit("us-gaap"), tags).alias("facts"))
-    return fa.select_facts(fa.flat_facts(payloads), o, fa.tag_chains(spark)).select("accession", "metric", "xbrl_tag", "value", "is_instant", "fiscal_year")
+    n = o.count()
+    payloads = dealt(o, n, "o_custkey").select(F.col("o_custkey").alias("cik"), F.lit("T").alias("ticker"), F.create_map(F.lit("us-gaap"), tags).alias("facts"))
+    return fa.select_facts(dealt(fa.flat_facts(payloads), 4 * n, "accession"), dealt(o, 4 * n, "accession"), fa.tag_chains(spark)).select("accession", "metric", "xbrl_tag", "value", "is_instant", "fiscal_year")

@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 from ..functions.html_dom import html_text
 from ..functions.text import context_prefix, html_by_regex, stable_id, token_count, value_variants
 from ..sources import filings as src
-from ..sources.shared import new_folder, spread
+from ..sources.shared import dealt, new_folder, spread
 from ..streaming.events import drained_whole, event_stream, tumbling_counts
 from .registry import query, table
 from .text_sql import HTML_SQL
@@ -55,7 +55,9 @@ def revenue_sanity(spark, d):
 @query("""SELECT DISTINCT l_orderkey, date_diff('day', o_orderdate::DATE, l_shipdate::DATE)::INTEGER AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     WHERE date_diff('day', o_orderdate::DATE, l_shipdate::DATE) < 300 OR date_diff('day', o_orderdate::DATE, l_shipdate::DATE) > 430""")
 def period_outliers(spark, d):
-    joined = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    n = lines.count()
+    joined = dealt(lines.select("l_orderkey", "l_shipdate"), n, "l_orderkey").join(dealt(orders, n, "l_orderkey"), "l_orderkey")
     days = F.datediff("l_shipdate", "o_orderdate")
     return joined.select("l_orderkey", days.alias("days")).where((F.col("days") < 300) | (F.col("days") > 430)).distinct()
 

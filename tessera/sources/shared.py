@@ -59,3 +59,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def dealt(df: DataFrame, n_rows: int, *keys: str, rows: int = 500_000) -> DataFrame:
+    """df by keys in parts of about so many of its n_rows, and as many parts as there are cores at least.
+
+    The number of parts grows with the rows, so that what a task sorts or gathers does not.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-n_rows // rows))
+    return df.repartition(parts, *keys)

@@ -401,3 +401,13 @@ def test_lexical_scores_are_summed_where_they_are_made(spark):
     # no exchange of pairs: none deals by query
     for plan in (scored, retrieval.lexical_scores(index, asked)):
         assert "hashpartitioning(query_id#" not in plan.where("score > 1")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_parts_grow_with_the_rows(spark):
+    from tessera.sources.shared import dealt
+
+    df = spark.range(1000).withColumn("k", F.col("id") % 100)
+    got = dealt(df, 1000, "k", rows=50)
+    assert got.rdd.getNumPartitions() == 20 and got.count() == 1000
+    assert got.select("k", F.spark_partition_id().alias("p")).distinct().count() == 100
+    assert dealt(df, 1000, "k").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
