@@ -198,7 +198,11 @@ def walk_forward_trees(frame: DataFrame, features: list[str], target: str, year:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = prepared(frame, features, target).select(year, *features, target)
+    # kept as a table: each fold passes over it several times
+    spark, path = frame.sparkSession, new_folder(frame.sparkSession, "trees")
+    ready = prepared(frame, features, target).select(year, *features, target)
+    ready.write.parquet(path)
+    rows = spark.read.schema(ready.schema).parquet(path)
     sizes = {r[0]: r[1] for r in rows.groupBy(year).count().orderBy(year).collect()}
 
     def fitted(fold: int, n_train: int) -> DataFrame:

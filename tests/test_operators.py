@@ -411,3 +411,11 @@ def test_parts_grow_with_the_rows(spark):
     assert got.rdd.getNumPartitions() == 20 and got.count() == 1000
     assert got.select("k", F.spark_partition_id().alias("p")).distinct().count() == 100
     assert dealt(df, 1000, "k").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_trees_read_a_stored_frame(spark, monkeypatch):
+    made, own = [], models.new_folder
+    monkeypatch.setattr(models, "new_folder", lambda s, name: made.append(own(s, name)) or made[-1])
+    df = spark.createDataFrame([(2000 + k // 40, float(k % 7), float(k % 5)) for k in range(80)], "fiscal_year int, a double, y double")
+    got = models.walk_forward_trees(df, ["a"], "y", maxIter=1, maxDepth=1).collect()
+    assert [(r.fold, r.n_train, r.n_test) for r in got] == [(2001, 40, 40)] and len(made) == 1 and spark.read.parquet(made[0]).count() == 80
